@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import _scratch
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = (4 << 20) - 1
 BLOCK_SCHEMA = "bid long, doc_id array<long>, flag array<boolean>, lens array<long>, data binary"
 _BITS = 20  # blocks of one task
 
