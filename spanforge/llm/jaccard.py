@@ -27,7 +27,7 @@ from ._text import Words, mix, shingles
 from .components import components
 
 U64 = np.uint64
-SIGNATURE_BITS = 1024
+LEAST_SIGNATURE_BITS = 256
 #: How many frequent windows the common order knows. It orders only; results don't depend on it.
 FREQUENT_WINDOWS = 1 << 17
 TILE_ROWS = 2048
@@ -35,7 +35,7 @@ HUB_ROWS = 512
 _SLOT = 22
 
 SET_SCHEMA = "uid long, doc_id long, n long, f1 long, f2 long, sig array<long>, frequent array<long>, times array<long>"
-GROUP_SCHEMA = "token long, uid long, n long, center long"
+GROUP_SCHEMA = "token long, uid long, n long, early boolean, center long"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -53,11 +53,25 @@ def _sets(block: B.Block, k: int, only: np.ndarray | None = None) -> list[np.nda
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set, as 64-bit words."""
-    bits = np.bincount((tokens >> U64(40)).astype(np.int64) % SIGNATURE_BITS, minlength=SIGNATURE_BITS) & 1
+    """Parity bitmap of a set, as 64-bit words. Its width follows the set's size, so that unrelated
+    sets differ in more bits than linked ones can; halves of a bitmap, xored, are that of half the width."""
+    width = max(LEAST_SIGNATURE_BITS, 1 << (len(tokens) * 3 // 5).bit_length())
+    bits = np.bincount((tokens >> U64(40)).astype(np.int64) % width, minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(U64)
 
 
+def _eligible(group: np.ndarray, n: np.ndarray, early: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (group, n): how many other rows of the group can be the larger, and how many
+    the smaller set of a link with each. The smaller needs the window early in its order."""
+    base = group.astype(np.int64) << 32
+    key = base | n
+    same, after = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
+    larger = np.where(early, np.searchsorted(key, base | (n * den // num), "right") - same - 1, 0)
+    flagged = np.concatenate([[0], np.cumsum(early)])
+    smaller = flagged[after] - flagged[np.searchsorted(key, base | -(-n * num // den), "left")] - early
+    return larger, smaller
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = np.empty(0, U64), np.empty(0, np.int64)
@@ -70,12 +84,13 @@ def _describe(k: int):
             t, c = np.unique(np.concatenate([sets[i] for i in kept]) if len(kept) else tokens[:0], return_counts=True)
             both, at = np.unique(np.concatenate([tokens, t[c > 1]]), return_inverse=True)
             tokens, times = both, np.bincount(at, weights=np.concatenate([times, c[c > 1]]), minlength=len(both)).astype(np.int64)
-            sig = np.concatenate([signature(s) for s in sets]) if sets else tokens[:0]
-            width = SIGNATURE_BITS // 64
+            sigs = [signature(s) for s in sets]
+            sig = np.concatenate(sigs) if sets else tokens[:0]
+            cut = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             none = pa.nulls(len(sets), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((block.bid << _SLOT) + np.arange(len(sets))), block.doc_id.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(f1)), pa.array(_signed(f2)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(_signed(sig))), none, none],
+                 pa.ListArray.from_arrays(pa.array(cut), pa.array(_signed(sig))), none, none],
                 names=["uid", "doc_id", "n", "f1", "f2", "sig", "frequent", "times"],
             )
         often = times >= 4
@@ -113,9 +128,10 @@ def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank:
                     chosen = s[:p]
                 tokens.append(chosen)
                 owner.append(np.full(len(chosen), d, np.int64))
-                size.append(np.full(len(chosen), n, np.uint32))
+                # in the smaller set of a link, the first common window comes this early
+                size.append(2 * n + (np.arange(len(chosen)) <= n - -(-2 * num * n // (num + den))).astype(np.uint32))
             if tokens:
-                t, o, z = np.concatenate(tokens), np.concatenate(owner), np.concatenate(size)
+                t, o, z = np.concatenate(tokens), np.concatenate(owner), np.concatenate(size).astype(np.uint32)
                 order = np.argsort(t, kind="stable")
                 yield from B.sent_rows(block.bid, t[order], [(o[order] + (block.bid << _SLOT)), z[order]], n_buckets)
 
@@ -133,14 +149,19 @@ def _groups(num: int, den: int):
                 a, b = batch.column(3)[i].as_py()
                 uids.append(B.from_planes(a, np.int64))
                 sizes.append(B.from_planes(b, np.uint32))
-        key, uid, n = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes).astype(np.int64)
+        key, uid, size = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes).astype(np.int64)
+        n, early = size >> 1, (size & 1).astype(bool)
         order = np.argsort(key, kind="stable")
         same = np.zeros(len(order) + 1, dtype=bool)
         same[1:-1] = key[order][1:] == key[order][:-1]
         order = order[same[:-1] | same[1:]]
-        key, uid, n = key[order], uid[order], n[order]
+        key, uid, n, early = key[order], uid[order], n[order], early[order]
         order = np.lexsort((uid, n, key))
-        key, uid, n = key[order], uid[order], n[order]
+        key, uid, n, early = key[order], uid[order], n[order], early[order]
+        if len(key):
+            larger, smaller = _eligible(np.cumsum(np.append(True, key[1:] != key[:-1])), n, early, num, den)
+            live = (larger > 0) | (smaller > 0)
+            key, uid, n, early = key[live], uid[live], n[live], early[live]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         stop = np.append(head[1:], len(key)) if len(head) else head
         center = np.empty(len(key), np.int64)
@@ -157,7 +178,7 @@ def _groups(num: int, den: int):
             head = out[first]
             stop = out[stop - 1] + 1
         for i in range(0, len(key), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[i : i + (1 << 17)])), *(pa.array(x[i : i + (1 << 17)]) for x in (uid, n, center))], names=["token", "uid", "n", "center"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[i : i + (1 << 17)])), *(pa.array(x[i : i + (1 << 17)]) for x in (uid, n, early, center))], names=["token", "uid", "n", "early", "center"])
 
     return run
 
@@ -238,87 +259,117 @@ def _verify(blocks: DataFrame, pairs: DataFrame, k: int, num: int, den: int, par
     return _scratch.stored(dealt.mapInArrow(_decide(num, den), "u long, v long"), "links")
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of groups that several components share."""
-    cols = [[] for _ in range(4)]
-    for batch in batches:
-        for i in range(4):
-            cols[i].append(batch.column(i).to_numpy())
-    if not cols[0]:
-        return
-    token, uid, n, comp = (np.concatenate(c) for c in cols)
-    order = np.lexsort((comp, token))
-    token, uid, n, comp = token[order], uid[order], n[order], comp[order]
-    head = np.append(True, token[1:] != token[:-1])
-    group = np.cumsum(head) - 1
-    kinds = np.bincount(group, weights=np.append(True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])))
-    rows = np.flatnonzero(kinds[group] > 1)
-    size = np.bincount(group)[group]
-    for i in range(0, len(rows), 1 << 17):
-        at = rows[i : i + (1 << 17)]
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (token, uid, n, comp, size)], names=["token", "uid", "n", "comp", "size"])
+def _cross(num: int, den: int):
+    """Rows that have a possible partner of another component in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[] for _ in range(5)]
+        for batch in batches:
+            for i in range(5):
+                cols[i].append(batch.column(i).to_numpy(zero_copy_only=False))
+        if not cols[0]:
+            return
+        token, uid, n, early, comp = (np.concatenate(c) for c in cols)
+        found = []
+        for keys in ((n, token), (n, comp, token)):  # of the group, and of the same component in it
+            order = np.lexsort(keys)
+            new = np.zeros(len(order), dtype=bool)
+            for x in keys[1:]:
+                new[1:] |= x[order][1:] != x[order][:-1]
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            found.append([x[back] for x in _eligible(np.cumsum(new), n[order], early[order], num, den)])
+        rows = np.flatnonzero((found[0][0] > found[1][0]) | (found[0][1] > found[1][1]))
+        _, group, size = np.unique(token[rows], return_inverse=True, return_counts=True)
+        size = size[group] if len(rows) else rows
+        for i in range(0, len(rows), 1 << 17):
+            at = rows[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (token, uid, n, early, comp)), pa.array(size[i : i + (1 << 17)])], names=["token", "uid", "n", "early", "comp", "size"])
+
+    return run
+
+
+class _Bitmaps:
+    """Bitmaps of rows, by width; a row is there in its own width and in half of it."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray):
+        self.width = lengths
+        start = np.cumsum(lengths) - lengths
+        self.at, self.rows = {}, {}
+        for w in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == w)
+            full = words[start[own][:, None] + np.arange(w)]
+            for size, part in ((w, full), (w // 2, full[:, : w // 2] ^ full[:, w // 2 :])):
+                if size not in self.at:
+                    self.at[size], self.rows[size] = np.full(len(lengths), -1), []
+                self.at[size][own] = sum(map(len, self.rows[size])) + np.arange(len(own))
+                self.rows[size].append(part)
+        self.rows = {w: np.concatenate(x) for w, x in self.rows.items()}
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            at, rows = self.at[w], self.rows[w]
+            for i in np.array_split(which := np.flatnonzero(width == w), len(which) * w // (1 << 20) + 1):
+                out[i] = np.bitwise_count(rows[at[a[i]]] ^ rows[at[b[i]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _tile(num: int, den: int):
     """Pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (token, ti, tj)."""
 
-    def pairs_of(rows: tuple, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        uid, n, comp, sig = rows
-        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        ok = (comp[a] != comp[b]) & (high * num <= low * den)
-        a, b = a[ok], b[ok]
-        out = []
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            differ = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
-            total = n[x] + n[y]
-            most = (total - differ) // 2
-            fine = den * most >= num * (total - most)
-            out.append((x[fine], y[fine]))
-        if not out:
-            return a, b
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    def finish(cols: list[np.ndarray], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, ti, tj, t, uid, n, early, comp, lengths = cols
+        bitmaps = _Bitmaps(words, lengths)
+        new = np.append(True, (token[1:] != token[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))
+        head = np.flatnonzero(new)
+        found = []
+        for s, e in zip(head, np.append(head[1:], len(token)), strict=True):
+            if e - s < 2:
+                continue
+            if ti[s] == tj[s]:
+                a, b = np.triu_indices(e - s, 1)
+            else:
+                left, right = np.flatnonzero(t[s:e] == ti[s]), np.flatnonzero(t[s:e] == tj[s])
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+            a, b = a + s, b + s
+            swap = n[a] > n[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            ok = early[a] & (comp[a] != comp[b]) & (n[b] * num <= n[a] * den)
+            found.append((a[ok], b[ok]))
+        if not found:
+            return
+        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        u, v = np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])
+        order = np.lexsort((v, u))
+        order = order[np.append(True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1]))] if len(order) else order
+        a, b, u, v = a[order], b[order], u[order], v[order]
+        total = n[a] + n[b]
+        most = (total - bitmaps.differ(a, b)) // 2
+        fine = den * most >= num * (total - most)
+        yield pa.RecordBatch.from_arrays([pa.array(u[fine]), pa.array(v[fine])], names=["hub", "uid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(parts: list) -> Iterator[pa.RecordBatch]:
-            token, ti, tj, t, uid, n, comp = (np.concatenate([p[j] for p in parts]) for j in range(7))
-            sig = np.concatenate([p[7] for p in parts])
-            new = np.append(True, (token[1:] != token[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))
-            head = np.flatnonzero(new)
-            stop = np.append(head[1:], len(token))
-            rows = (uid, n, comp, sig)
-            found = []
-            for s, e in zip(head, stop, strict=True):
-                if e - s < 2:
-                    continue
-                if ti[s] == tj[s]:
-                    a, b = np.triu_indices(e - s, 1)
-                else:
-                    left, right = np.flatnonzero(t[s:e] == ti[s]), np.flatnonzero(t[s:e] == tj[s])
-                    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-                a, b = pairs_of(rows, a + s, b + s)
-                if len(a):
-                    found.append((uid[a], uid[b]))
-            if found:
-                a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["hub", "uid"])
-
-        held, count = [], 0
+        held, words = [], []
+
+        def joined() -> tuple[list[np.ndarray], np.ndarray]:
+            return [np.concatenate([p[j] for p in held]) for j in range(9)], np.concatenate(words)
+
         for batch in batches:
-            width = SIGNATURE_BITS // 64
-            sig = batch.column(7).flatten().to_numpy().view(U64).reshape(-1, width)
-            held.append((*(batch.column(i).to_numpy() for i in range(7)), sig))
-            count += batch.num_rows
-            if count >= 1 << 16:
-                joined = [np.concatenate([p[j] for p in held]) for j in range(8)]
-                last = np.flatnonzero((joined[0] != joined[0][-1]) | (joined[1] != joined[1][-1]) | (joined[2] != joined[2][-1]))
+            sig = batch.column(8)
+            held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)), sig.value_lengths().to_numpy().astype(np.int64)])
+            words.append(sig.flatten().to_numpy().view(U64))
+            if sum(map(len, words)) >= 1 << 21:
+                cols, all_words = joined()
+                last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
                 cut = last[-1] + 1 if len(last) else 0
                 if cut:
-                    yield from finish([[x[:cut] for x in joined]])
-                held, count = [tuple(x[cut:] for x in joined)], len(joined[0]) - cut
-        if count:
-            yield from finish(held)
+                    at = cols[8][:cut].sum()
+                    yield from finish([x[:cut] for x in cols], all_words[:at])
+                    held, words = [[x[cut:] for x in cols]], [all_words[at:]]
+        if held:
+            yield from finish(*joined())
 
     return run
 
@@ -361,20 +412,26 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sig = sets.select("uid", "sig", F.col("n").alias("size"))
     pairs = groups.where("center <> uid").select(F.col("center").alias("hub"), "uid").distinct()
     pairs = pairs.join(sig, "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
-    differ = F.aggregate(F.zip_with("sig", "hub_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    width = F.least(F.size("sig"), F.size("hub_sig"))
+
+    def folded(sig):
+        halves = F.zip_with(F.slice(sig, 1, width), F.slice(sig, width + 1, width), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(sig) > width, halves).otherwise(F.col(sig))
+
+    differ = F.aggregate(F.zip_with(folded("sig"), folded("hub_sig"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     most = F.floor((F.col("size") + F.col("hub_size") - differ) / 2)
     pairs = pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid")
     links = _verify(blocks, _scratch.stored(pairs, "pairs"), k, num, den, parts)
 
     # second round: rows of different components
     comps = _scratch.stored(components(links), "components")
-    labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", F.coalesce("component", "uid").alias("comp"))
-    crossing = labelled.repartition(parts, "token").mapInArrow(_cross, "token long, uid long, n long, comp long, size long")
+    labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
+    crossing = labelled.repartition(parts, "token").mapInArrow(_cross(num, den), "token long, uid long, n long, early boolean, comp long, size long")
     tiles = F.ceil(F.col("size") / TILE_ROWS).cast("long")
     crossing = crossing.withColumns({"tiles": tiles, "t": F.pmod(F.xxhash64("uid"), tiles)})
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
-    placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "comp").join(sig.drop("size"), "uid")
-    placed = placed.select("token", "ti", "tj", "t", "uid", "n", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
+    placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "early", "comp").join(sig.drop("size"), "uid")
+    placed = placed.select("token", "ti", "tj", "t", "uid", "n", "early", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
     pairs = _scratch.stored(placed.mapInArrow(_tile(num, den), "hub long, uid long").distinct(), "pairs")
     more = _verify(blocks, pairs, k, num, den, parts)
     return Join(sets.drop("sig", "frequent", "times"), links.union(more), blocks)
