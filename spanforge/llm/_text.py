@@ -65,7 +65,9 @@ class SpanHash:
     def __init__(self, data: np.ndarray, seed: int = 1):
         power, self.inverse = powers(seed, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(byte_values(seed)[data] * power[: len(data)], out=self.sums[1:])
+        values = byte_values(seed)[data]
+        values *= power[: len(data)]
+        np.cumsum(values, out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -80,20 +82,28 @@ class SpanHash:
         return out
 
 
+PIECE_BYTES = 1 << 20
+
+
 class Words:
     """Words of a block: ``hashes`` in order, ``bounds[d]:bounds[d+1]`` being document d's."""
 
     def __init__(self, data: np.ndarray, lens: np.ndarray, seed: int = 1):
-        data = LOWER[data]
-        inside = np.zeros(len(data) + 2, dtype=np.int8)
-        inside[1:-1] = WORD_BYTE[data]
-        step = np.diff(inside)
-        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         offsets = np.zeros(len(lens) + 1, dtype=np.int64)
         np.cumsum(np.asarray(lens, dtype=np.int64) + 1, out=offsets[1:])
-        self.bounds = np.searchsorted(start, offsets)
-        self.hashes = mix(SpanHash(data, seed).raw(start, end) + (end - start).astype(np.uint64))
-        self.start, self.end, self.offsets = start, end, offsets
+        start, hashes, at = [np.empty(0, np.int64)], [np.empty(0, U64)], 0
+        while at < len(lens):  # whole documents, about PIECE_BYTES at a time
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
+            piece = LOWER[data[offsets[at] : offsets[to]]]
+            inside = np.zeros(len(piece) + 2, dtype=np.int8)
+            inside[1:-1] = WORD_BYTE[piece]
+            step = np.diff(inside)
+            s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            hashes.append(mix(SpanHash(piece, seed).raw(s, e) + (e - s).astype(U64)))
+            start.append(s + offsets[at])
+            at = to
+        self.hashes, self.offsets = np.concatenate(hashes), offsets
+        self.bounds = np.searchsorted(np.concatenate(start), offsets)
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, katz, packing, suffix_dedup, warc
+from . import host_rules, jaccard, katz, packing, suffix_dedup, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(10) == 0)
 
@@ -51,10 +59,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
+OP8 = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j FROM twice) GROUP BY doc_id),
+c AS (
+  SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (SELECT count(*) - count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]'))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats FROM c),
+h AS (
+  SELECT source, r, count(*) AS n, sum(x::INT) AS f
+  FROM (SELECT source, unnest(['short', 'repeats', 'any']) AS r, unnest([short, repeats, short OR repeats]) AS x FROM f) GROUP BY ALL),
+m AS (SELECT r, sum(f) / sum(n) AS p, sum(f * f / n) / sum(n) - power(sum(f) / sum(n), 2) - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS v FROM h GROUP BY r),
+s AS (SELECT r, p, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(1, p * (1 - p) / v - 1)) END AS s FROM m),
+bad AS (SELECT DISTINCT source FROM h JOIN s USING (r) WHERE (f + p * s + 1e-9) / (n + s + 2e-9) > 0.8)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND source NOT IN (SELECT source FROM bad WHERE source IS NOT NULL) AS kept
+FROM f
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT doc_id, item_id, dw.n, i FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op9_katz)}
+    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op8_host_rules, op9_katz, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1}
+    return {"op1_warc": OP1, "op8_host_rules": OP8, "op10_winnowing": OP10}
