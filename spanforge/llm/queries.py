@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, jaccard, katz, packing, suffix_dedup, warc, winnow
+from . import host_rules, jaccard, katz, packing, quality, suffix_dedup, url_rules, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), remainder(5) == 0)
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), url_rules.QUERY_RULES)
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
+OP7 = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+t AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+r(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+m AS (SELECT page_id, r.host || r.path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) AS k
+      FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
+SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id AND m.k = 1
+"""
+
 OP8 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -98,8 +117,8 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op8_host_rules, op9_katz, op10_winnowing)}
+    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op5_bradley_terry, op7_url_rules, op8_host_rules, op9_katz, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op8_host_rules": OP8, "op10_winnowing": OP10}
+    return {"op1_warc": OP1, "op7_url_rules": OP7, "op8_host_rules": OP8, "op10_winnowing": OP10}
