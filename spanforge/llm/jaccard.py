@@ -221,8 +221,10 @@ def _members(k: int, path: str):
                 continue
             sets = _sets(block, k, np.unique(slot))
             uid = slot + (block.bid << _SLOT)
-            for i in range(0, len(slot), 512):
-                at = slice(i, i + 512)
+            size = np.cumsum([sets[s].nbytes for s in slot]) // (4 << 20)
+            cut = [0, *(np.flatnonzero(np.diff(size)) + 1), len(slot)]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                at = slice(i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[s].tobytes() for s in slot[at]], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
 
     return run
@@ -233,8 +235,10 @@ def _decide(num: int, den: int):
         hub, tokens = None, None
         for batch in batches:
             u, v = [], []
-            for h, _, uid, member, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x = np.frombuffer(data, U64)
+            for i, (h, uid, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                x = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
+                if not member:
+                    x = x.copy()
                 if not member:
                     hub, tokens = h, x
                     continue
