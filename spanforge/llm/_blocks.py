@@ -31,30 +31,36 @@ class Block:
     flag: np.ndarray
     lens: np.ndarray
     data: np.ndarray
+    carry: pa.Array | None = None
 
 
 def _build(block_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid = TaskContext.get().partitionId() << _BITS
-        ids, flags, lens, parts, held = [], [], [], [], 0
+        ids, flags, lens, parts, rest, held = [], [], [], [], [], 0
+        kind = None
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([bid], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())),
-                 pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(x + b" " for x in parts)], pa.binary())],
-                names=["bid", "doc_id", "flag", "lens", "data"],
-            )
+            columns = [pa.array([bid], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())),
+                       pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(x + b" " for x in parts)], pa.binary())]
+            if kind is not None:
+                columns.append(pa.array([rest], pa.list_(kind)))
+            return pa.RecordBatch.from_arrays(columns, names=["bid", "doc_id", "flag", "lens", "data", "carry"][: len(columns)])
 
         for batch in batches:
-            for i, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
+            others = [None] * batch.num_rows
+            if batch.num_columns > 3:
+                kind, others = batch.column(3).type, batch.column(3).to_pylist()
+            for i, flag, text, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), others, strict=True):
+                text = text.as_py() or b""
                 if ids and held + len(text) > block_bytes:
                     yield flush()
-                    bid, ids, flags, lens, parts, held = bid + 1, [], [], [], [], 0
+                    bid, ids, flags, lens, parts, rest, held = bid + 1, [], [], [], [], [], 0
                 ids.append(i)
                 flags.append(bool(flag))
                 lens.append(len(text))
                 parts.append(text)
+                rest.append(other)
                 held += len(text) + 1
         if ids:
             yield flush()
@@ -62,16 +68,23 @@ def _build(block_bytes: int) -> Callable:
     return run
 
 
-def block_table(docs: DataFrame, id_col: str, text_col: str, flag: object = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """The documents as a table of blocks in the shared folder, and the bytes of text in it."""
+def block_table(docs: DataFrame, id_col: str, text_col: str, flag: object = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The documents as a table of blocks in the shared folder, and the bytes of text in it.
+
+    Columns named in ``carry`` go along as they are.
+    """
     spark = docs.sparkSession
-    rows = docs.select(
+    columns = [
         F.col(id_col).cast("long").alias("doc_id"),
         (F.lit(False) if flag is None else flag).alias("flag"),
         F.col(text_col).cast("binary").alias("text"),
-    )
-    path = _scratch.materialize(rows.mapInArrow(_build(block_bytes), BLOCK_SCHEMA), "blocks")
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    ]
+    schema = BLOCK_SCHEMA
+    if carry:
+        columns.append(F.struct(*[docs[c] for c in carry]).alias("carry"))
+        schema += f", carry array<{docs.select(columns[-1]).schema['carry'].dataType.simpleString()}>"
+    path = _scratch.materialize(docs.select(*columns).mapInArrow(_build(block_bytes), schema), "blocks")
+    blocks = spark.read.schema(schema).parquet(path)
     n_bytes = blocks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x + 1))).first()[0]
     return blocks, int(n_bytes or 0)
 
@@ -85,6 +98,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                 np.asarray(batch.column(2)[i].values.to_numpy(zero_copy_only=False), dtype=bool),
                 np.asarray(batch.column(3)[i].values, dtype=np.int64),
                 np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint8),
+                batch.column(5)[i].values if batch.num_columns > 5 else None,
             )
 
 

@@ -88,22 +88,22 @@ PIECE_BYTES = 1 << 20
 class Words:
     """Words of a block: ``hashes`` in order, ``bounds[d]:bounds[d+1]`` being document d's."""
 
-    def __init__(self, data: np.ndarray, lens: np.ndarray, seed: int = 1):
+    def __init__(self, data: np.ndarray, lens: np.ndarray, seed: int = 1, folded: np.ndarray = LOWER, word_byte: np.ndarray = WORD_BYTE):
         offsets = np.zeros(len(lens) + 1, dtype=np.int64)
         np.cumsum(np.asarray(lens, dtype=np.int64) + 1, out=offsets[1:])
         start, hashes, at = [np.empty(0, np.int64)], [np.empty(0, U64)], 0
         while at < len(lens):  # whole documents, about PIECE_BYTES at a time
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1)
-            piece = LOWER[data[offsets[at] : offsets[to]]]
+            piece = folded[data[offsets[at] : offsets[to]]]
             inside = np.zeros(len(piece) + 2, dtype=np.int8)
-            inside[1:-1] = WORD_BYTE[piece]
+            inside[1:-1] = word_byte[piece]
             step = np.diff(inside)
             s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
             hashes.append(mix(SpanHash(piece, seed).raw(s, e) + (e - s).astype(U64)))
             start.append(s + offsets[at])
             at = to
-        self.hashes, self.offsets = np.concatenate(hashes), offsets
-        self.bounds = np.searchsorted(np.concatenate(start), offsets)
+        self.hashes, self.starts, self.offsets = np.concatenate(hashes), np.concatenate(start), offsets
+        self.bounds = np.searchsorted(self.starts, offsets)
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

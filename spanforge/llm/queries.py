@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, jaccard, katz, packing, quality, suffix_dedup, url_rules, warc, winnow
+from . import host_rules, jaccard, katz, line_dedup, packing, quality, suffix_dedup, url_rules, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), remainder(5) == 0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), url_rules.QUERY_RULES)
 
@@ -117,7 +121,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op5_bradley_terry, op7_url_rules, op8_host_rules, op9_katz, op10_winnowing)}
+    return {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_ngram_jaccard, op4_packing, op5_bradley_terry, op6_line_dedup, op7_url_rules, op8_host_rules, op9_katz, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
