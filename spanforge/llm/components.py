@@ -38,6 +38,19 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[label[child]]
 
 
+def central_partners(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of one group, for each row only that with its partner of the most pairs: as many
+    pairs as rows at most, and every row that has a pair keeps one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at, np.concatenate([at[len(a) :], at[: len(a)]])
+    degree = np.bincount(u)
+    order = np.lexsort((v, -degree[v], u))
+    first = order[np.append(True, u[order][1:] != u[order][:-1])]
+    x, y = np.minimum(u[first], v[first]), np.maximum(u[first], v[first])
+    pairs = np.unique(x * len(nodes) + y)
+    return nodes[pairs // len(nodes)], nodes[pairs % len(nodes)]
+
+
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     u, v = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:

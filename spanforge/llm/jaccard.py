@@ -7,8 +7,9 @@ of their overlap, from the bits in which two parity bitmaps differ: each such bi
 only one side has. What is left is decided by intersecting sorted arrays.
 
 Large groups don't expand into all pairs. A first round pairs each row with the smallest row of its
-band only and joins what links into components; the second round pairs rows of different components,
-large groups split into tiles of bounded size. No partner is capped.
+band only and joins what links into components. Two more pair each row with that row of another component
+which has the most possible partners. The last round decides all pairs left between
+components. Large groups are split into tiles of bounded size. No partner is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 from . import _scratch
 from ._text import Words, mix, shingles
-from .components import components
+from .components import central_partners, components
 
 U64 = np.uint64
 LEAST_SIGNATURE_BITS = 256
@@ -219,13 +220,16 @@ def _members(k: int, path: str):
             slot, hub, salt = wanted.of(block.bid)
             if not len(slot):
                 continue
-            sets = _sets(block, k, np.unique(slot))
+            asked = np.unique(slot)
+            offsets = np.cumsum(block.lens + 1) - block.lens - 1
+            part = B.Block(block.bid, block.doc_id, block.flag, block.lens[asked], np.concatenate([block.data[offsets[d] : offsets[d] + block.lens[d] + 1] for d in asked]))
+            sets = dict(zip(asked.tolist(), _sets(part, k), strict=True))
             uid = slot + (block.bid << _SLOT)
-            size = np.cumsum([sets[s].nbytes for s in slot]) // (4 << 20)
+            size = np.cumsum([sets[s].nbytes for s in slot.tolist()]) // (4 << 20)
             cut = [0, *(np.flatnonzero(np.diff(size)) + 1), len(slot)]
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 at = slice(i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[s].tobytes() for s in slot[at]], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[s].tobytes() for s in slot[at].tolist()], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
 
     return run
 
@@ -320,15 +324,34 @@ class _Bitmaps:
         return out
 
 
-def _tile(num: int, den: int):
-    """Pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (token, ti, tj)."""
+def _tile(num: int, den: int, forest: bool):
+    """Pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (token, ti, tj).
+
+    With ``forest``, of each tile every row with its most central partner only.
+    """
 
     def finish(cols: list[np.ndarray], words: np.ndarray) -> Iterator[pa.RecordBatch]:
         token, ti, tj, t, uid, n, early, comp, lengths = cols
         bitmaps = _Bitmaps(words, lengths)
         new = np.append(True, (token[1:] != token[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))
         head = np.flatnonzero(new)
-        found = []
+        pending, waiting, out = [], 0, [np.empty((0, 2), np.int64)]
+
+        def decide() -> None:
+            a, b = np.concatenate([x for x, _, _ in pending]), np.concatenate([y for _, y, _ in pending])
+            group = np.concatenate([np.full(len(x), g) for x, _, g in pending])
+            total = n[a] + n[b]
+            most = (total - bitmaps.differ(a, b)) // 2
+            fine = den * most >= num * (total - most)
+            a, b, group = a[fine], b[fine], group[fine]
+            found = [np.stack([a, b], axis=1)]
+            if forest and len(a):
+                cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+                found = [np.stack(central_partners(a[i:j], b[i:j]), axis=1) if j - i > 3 else found[0][i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            pairs = np.sort(uid[np.concatenate(found)], axis=1)
+            out.append(np.unique(pairs, axis=0))
+            pending.clear()
+
         for s, e in zip(head, np.append(head[1:], len(token)), strict=True):
             if e - s < 2:
                 continue
@@ -341,18 +364,15 @@ def _tile(num: int, den: int):
             swap = n[a] > n[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             ok = early[a] & (comp[a] != comp[b]) & (n[b] * num <= n[a] * den)
-            found.append((a[ok], b[ok]))
-        if not found:
-            return
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        u, v = np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])
-        order = np.lexsort((v, u))
-        order = order[np.append(True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1]))] if len(order) else order
-        a, b, u, v = a[order], b[order], u[order], v[order]
-        total = n[a] + n[b]
-        most = (total - bitmaps.differ(a, b)) // 2
-        fine = den * most >= num * (total - most)
-        yield pa.RecordBatch.from_arrays([pa.array(u[fine]), pa.array(v[fine])], names=["hub", "uid"])
+            pending.append((a[ok], b[ok], s))
+            waiting += len(pending[-1][0])
+            if waiting > 1 << 18:
+                decide()
+                waiting = 0
+        if pending:
+            decide()
+        pairs = np.unique(np.concatenate(out), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "uid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], []
@@ -427,18 +447,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid")
     links = _verify(blocks, _scratch.stored(pairs, "pairs"), k, num, den, parts)
 
-    # second round: rows of different components
-    comps = _scratch.stored(components(links), "components")
-    labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
-    crossing = labelled.repartition(parts, "token").mapInArrow(_cross(num, den), "token long, uid long, n long, early boolean, comp long, size long")
-    tiles = F.ceil(F.col("size") / TILE_ROWS).cast("long")
-    crossing = crossing.withColumns({"tiles": tiles, "t": F.pmod(F.xxhash64("uid"), tiles)})
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
-    placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "early", "comp").join(sig.drop("size"), "uid")
-    placed = placed.select("token", "ti", "tj", "t", "uid", "n", "early", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
-    pairs = _scratch.stored(placed.mapInArrow(_tile(num, den), "hub long, uid long").distinct(), "pairs")
-    more = _verify(blocks, pairs, k, num, den, parts)
-    return Join(sets.drop("sig", "frequent", "times"), links.union(more), blocks)
+    # further rounds: rows of different components, at last all of their pairs
+    for forest in (True, True, False):
+        comps = _scratch.stored(components(links), "components")
+        labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
+        crossing = labelled.repartition(parts, "token").mapInArrow(_cross(num, den), "token long, uid long, n long, early boolean, comp long, size long")
+        tiles = F.ceil(F.col("size") / TILE_ROWS).cast("long")
+        crossing = crossing.withColumns({"tiles": tiles, "t": F.pmod(F.xxhash64("uid"), tiles)})
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
+        placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "early", "comp").join(sig.drop("size"), "uid")
+        placed = placed.select("token", "ti", "tj", "t", "uid", "n", "early", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
+        pairs = _scratch.stored(placed.mapInArrow(_tile(num, den, forest), "hub long, uid long").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.union(_verify(blocks, pairs, k, num, den, parts))
+    return Join(sets.drop("sig", "frequent", "times"), links, blocks)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
