@@ -2,7 +2,8 @@
 
 Each round contracts the edges of every partition to a forest (a union-find over that partition
 only), then links larger neighbours and smaller neighbours of each node to the smallest one seen.
-Rounds are written to the shared folder; no edge reaches the driver.
+Rounds are written to the shared folder; no edge reaches the driver. Partitions take TASK_EDGES
+edges, so a graph of no more is done by its first contraction.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from . import _scratch
 
 EDGE = "u long, v long"
+#: Edges that one task contracts; bounds its memory to some 100 MB.
+TASK_EDGES = 1 << 20
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,22 +69,26 @@ def components(edges: DataFrame, u_col: str = "u", v_col: str = "v") -> DataFram
     spark = edges.sparkSession
     a, b = F.col(u_col).cast("long"), F.col(v_col).cast("long")
     e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = _scratch.stored(e.mapInArrow(_local, EDGE).distinct(), "edges")
+    e = _scratch.stored(e, "edges")
     while True:
+        tasks = -(-e.count() // TASK_EDGES)
+        if tasks <= 1:
+            e = _scratch.stored(e.coalesce(1).mapInArrow(_local, EDGE), "edges")
+            break
+        e = e.repartition(tasks, "u").mapInArrow(_local, EDGE)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.mapInArrow(_local, EDGE)
+        # edges to the smallest neighbour that point downwards already
+        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v")))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = small.select("u", F.col("m").alias("v")).union(
             large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        new = _scratch.stored(star.mapInArrow(_local, EDGE).distinct(), "edges")
+        e = _scratch.stored(star.distinct(), "edges")
         # a star forest: every node hangs on one node that hangs on none
-        row = new.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
-        done = row["n"] == row["d"] and new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-        e = new
-        if done:
+        row = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
+        if row["n"] == row["d"] and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
