@@ -32,7 +32,7 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row with the area under the ROC curve, ties counting half."""
     pos, neg = F.col(label).cast("bigint"), 1 - F.col(label).cast("bigint")
     steps = df.groupBy(score).agg(F.sum(pos).alias("p"), F.sum(neg).alias("n"))
-    below = scan.running(tracks.numbered(steps, [score], None, "_at").withColumn("_all", F.lit(1)), ["_all"], "_at", [], F.col("n"), "_below")
+    below = scan.running(tracks.numbered(steps, [score], None, "_row").withColumn("_all", F.lit(1)), ["_all"], "_row", [], F.col("n"), "_below")
     return below.agg((F.sum(F.col("p") * (F.col("_below") - F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -124,13 +124,13 @@ def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p")
 
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """U of the rows whose group is true, and a two-sided p by normal approximation with ties."""
-    tied = df.groupBy(*keys, value).agg(F.count("*").alias("t"), F.sum(F.col(group).cast("bigint")).alias("g"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = tied.withColumn("r", below + (F.col("t") + 1) / 2)
-    s = ranks.groupBy(*keys).agg(F.sum(F.col("r") * F.col("g")).alias("w"), F.sum("g").alias("m"), F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    m, n = F.col("m"), F.col("n") - F.col("m")
-    u = F.col("w") - m * (m + 1) / 2
-    sigma = F.sqrt(m * n / 12 * (F.col("n") + 1 - F.col("ties") / (F.col("n") * (F.col("n") - 1))))
+    tied = df.groupBy(*keys, value).agg(F.count("*").alias("_t"), F.sum(F.col(group).cast("bigint")).alias("_g"))
+    below = F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = tied.withColumn("_r", below + (F.col("_t") + 1) / 2)
+    s = ranks.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_g")).alias("_w"), F.sum("_g").alias("_m"), F.sum("_t").alias("_n"), F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties"))
+    m, n = F.col("_m"), F.col("_n") - F.col("_m")
+    u = F.col("_w") - m * (m + 1) / 2
+    sigma = F.sqrt(m * n / 12 * (F.col("_n") + 1 - F.col("_ties") / (F.col("_n") * (F.col("_n") - 1))))
     return s.select(*keys, u.alias("u"), ((u - m * n / 2) / sigma).alias("z"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import counts as C
@@ -186,10 +186,10 @@ VEC = RD + """, vec AS (SELECT l_partkey, sum(CASE WHEN sample = 0 THEN cnt ELSE
   sum(CASE WHEN sample = 2 THEN cnt ELSE 0 END)::DOUBLE AS c, sum(CASE WHEN sample = 3 THEN cnt ELSE 0 END)::DOUBLE AS d FROM reads GROUP BY ALL)"""
 
 
-@query(f"WITH {VEC}, m AS (SELECT *, greatest(a, b, c, d) AS m FROM vec) SELECT l_partkey, round(CASE WHEN m > 0 THEN (a + b + c + d) / m * log2(m) ELSE 0 END, 5) AS logsc, round(CASE WHEN m > 1 THEN (a + b + c + d) / m ELSE a + b + c + d END, 5) AS scaled FROM m")
+@query(f"WITH {VEC}, m AS (SELECT *, greatest(a, b, c, d) AS m FROM vec) SELECT l_partkey, round(CASE WHEN m > 0 THEN (a + b + c + d) / m * log2(m) ELSE 0 END, 9) AS logsc, round(CASE WHEN m > 1 THEN (a + b + c + d) / m ELSE a + b + c + d END, 9) AS scaled FROM m")
 def downsample_logsc(spark, d):
     v = F.col("v")
-    return _vectors(spark, d).select("l_partkey", F.round(C.vector_sum(C.downsample("Logsc", v)), 5).alias("logsc"), F.round(C.vector_sum(C.downsample("Max", v)), 5).alias("scaled"))
+    return _vectors(spark, d).select("l_partkey", F.round(C.vector_sum(C.downsample("Logsc", v)), 9).alias("logsc"), F.round(C.vector_sum(C.downsample("Max", v)), 9).alias("scaled"))
 
 
 @query(f"WITH {VEC} SELECT l_partkey, round(log2((a + 1) / (b + 1)), 6) AS lfc FROM vec")
@@ -414,13 +414,13 @@ def exon_intron_class(spark, d):
     return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", program.exon_intron_class(F.col("n_exonic") > 0, F.col("n_genic") > 0).alias("class"))
 
 
-@query(f"""WITH {RD}, {GN}, c AS (SELECT sum((r.strand = g.strand)::BIGINT) AS sense, sum((r.strand <> g.strand)::BIGINT) AS anti FROM reads r JOIN genes g ON r.ref = g.ref AND s1 < ge AND gs < e1)
-  SELECT sense::BIGINT AS sense, anti::BIGINT AS anti, CASE WHEN sense > 2 * anti THEN 'Sense' WHEN anti > 2 * sense THEN 'Antisense' ELSE 'Unspecific' END AS strandness FROM c""")
+@query(f"""WITH {RD}, {GN}, c AS (SELECT sum((r.strand = g.strand)::BIGINT) AS n_sense, sum((r.strand <> g.strand)::BIGINT) AS n_anti FROM reads r JOIN genes g ON r.ref = g.ref AND s1 < ge AND gs < e1)
+  SELECT n_sense::BIGINT AS n_sense, n_anti::BIGINT AS n_anti, CASE WHEN n_sense > 2 * n_anti THEN 'Sense' WHEN n_anti > 2 * n_sense THEN 'Antisense' ELSE 'Unspecific' END AS strandness FROM c""")
 def infer_strandness(spark, d):
     j = joins.overlap(V.first_parts(spark, d), V.genes(spark, d), "inner", "bounds", strand="unspecific")
     same = F.col("l.strand") == F.col("r.strand")
-    c = j.agg(F.sum(same.cast("bigint")).alias("sense"), F.sum((~same).cast("bigint")).alias("anti"))
-    return c.select("sense", "anti", F.when(F.col("sense") > 2 * F.col("anti"), "Sense").when(F.col("anti") > 2 * F.col("sense"), "Antisense").otherwise("Unspecific").alias("strandness"))
+    c = j.agg(F.sum(same.cast("bigint")).alias("n_sense"), F.sum((~same).cast("bigint")).alias("n_anti"))
+    return c.select("n_sense", "n_anti", F.when(F.col("n_sense") > 2 * F.col("n_anti"), "Sense").when(F.col("n_anti") > 2 * F.col("n_sense"), "Antisense").otherwise("Unspecific").alias("strandness"))
 
 
 @query(f"""WITH {RD}, {GN}, o AS (SELECT gid, sample, sum(greatest(0, least(e1, ge) - greatest(s1, gs)) + greatest(0, least(e2, ge) - greatest(s2, gs)))::BIGINT AS bases FROM reads r JOIN genes g ON {OVER2} GROUP BY ALL) SELECT gid, sample, bases FROM o""")
@@ -786,11 +786,9 @@ def csv_infer(spark, d):
     return files.read_csv_lines(spark, spark.createDataFrame([(x,) for x in lines], "value string"), lines[:1000])
 
 
-@query("SELECT window_start::BIGINT AS start_s, event_type, count(*) AS n FROM (SELECT epoch(ts)::BIGINT // 3600 * 3600 AS window_start, event_type FROM events) GROUP BY ALL")
+@query("SELECT window_start::BIGINT AS start_s, event_type, count(*) AS n FROM (SELECT epoch_us(ts) // 3600000000 * 3600 AS window_start, event_type FROM events) GROUP BY ALL")
 def stream_windowed_counts(spark, d):
     from ..streaming import counts as streaming
 
     return streaming.windowed_counts_batch(V.table(spark, d, "events"))
 
-
-_ = Window
