@@ -207,9 +207,17 @@ def extend(parts: Column | str, front: Column | int, back: Column | int) -> Colu
     b = F.lit(back).cast("bigint") if isinstance(back, int) else back.cast("bigint")
     zero = F.lit(0).cast("bigint")
     p = _col(parts)
-    cut = map_region(p, F.array(part(F.greatest(-f, zero), length(p) - F.greatest(-b, zero))))
-    longer = F.concat(F.array(part(start(cut) - F.greatest(f, zero), start(cut))), cut, F.array(part(end(cut), end(cut) + F.greatest(b, zero))))
-    return F.when(is_empty(cut), cut).otherwise(normalize(longer))
+    cut = map_region(p, F.array(part(F.greatest(-f, zero), length(p) - F.greatest(-b, zero)))) if _may_cut(front) or _may_cut(back) else p
+
+    def grow(c):
+        longer = F.concat(F.array(part(start(c) - F.greatest(f, zero), start(c))), c, F.array(part(end(c), end(c) + F.greatest(b, zero))))
+        return F.when(is_empty(c), c).otherwise(normalize(longer))
+
+    return let(cut, grow)
+
+
+def _may_cut(by: Column | int) -> bool:
+    return not isinstance(by, int) or by < 0
 
 
 def distance(a: Column | str, b: Column | str) -> Column:

@@ -18,7 +18,8 @@ BUCKET = 1 << 16
 def running(df: DataFrame, keys: list[str], pos: str, order: list[Column | str], value: Column, out: str, how: str = "sum", include: bool = True, bucket: int = BUCKET) -> DataFrame:
     """``df`` with the running sum or max of ``value`` in (pos, order), up to this row or the one before."""
     agg: Callable = {"sum": F.sum, "max": F.max}[how]
-    rows = df.withColumns({"_value": value, "_bucket": F.floor(F.col(pos) / bucket)})
+    # one exchange serves the rows and their bucket totals
+    rows = df.withColumns({"_value": value, "_bucket": F.floor(F.col(pos) / bucket)}).repartition(*keys, "_bucket")
     frame = Window.partitionBy(*keys, "_bucket").orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_bucket").agg(agg("_value").alias("_total"))
@@ -34,7 +35,7 @@ def running(df: DataFrame, keys: list[str], pos: str, order: list[Column | str],
 
 def next_row(df: DataFrame, keys: list[str], pos: str, value: str, out: str, bucket: int = BUCKET) -> DataFrame:
     """``df`` with ``value`` of the following row by ``pos``; positions of a key are distinct."""
-    rows = df.withColumn("_bucket", F.floor(F.col(pos) / bucket))
+    rows = df.withColumn("_bucket", F.floor(F.col(pos) / bucket)).repartition(*keys, "_bucket")
     own = Window.partitionBy(*keys, "_bucket").orderBy(pos)
     firsts = rows.groupBy(*keys, "_bucket").agg(F.min_by(value, pos).alias("_first"))
     firsts = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_first")
@@ -49,4 +50,6 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, tolerance: int
     rows = running(df, keys, start, order, F.col(end), "_reach", "max", include=False)
     gap = F.col(start) - F.col("_reach")
     opens = F.coalesce(gap > tolerance if touching else gap >= tolerance, F.lit(True))
-    return running(rows.withColumn("_opens", opens.cast("bigint")), keys, start, order, F.col("_opens"), out).drop("_reach", "_opens")
+    # among equal rows the one that opens the cluster comes first
+    marked = rows.withColumn("_opens", opens.cast("bigint"))
+    return running(marked, keys, start, [*order, F.desc("_opens")], F.col("_opens"), out).drop("_reach", "_opens")

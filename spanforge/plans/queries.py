@@ -457,7 +457,7 @@ def liftover_unique(spark, d):
 
 
 @query(f"""WITH {RD}, m AS (SELECT *, max(e1) OVER (PARTITION BY ref, strand ORDER BY s1, e1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM reads),
-  i AS (SELECT *, sum(CASE WHEN p IS NULL OR s1 >= p THEN 1 ELSE 0 END) OVER (PARTITION BY ref, strand ORDER BY s1, e1 ROWS UNBOUNDED PRECEDING) AS isl FROM m)
+  i AS (SELECT *, sum(CASE WHEN p IS NULL OR s1 >= p THEN 1 ELSE 0 END) OVER (PARTITION BY ref, strand ORDER BY s1, e1, p NULLS FIRST ROWS UNBOUNDED PRECEDING) AS isl FROM m)
   SELECT ref, strand, min(s1) AS s, max(e1) AS e, count(*) AS n, sum(cnt)::BIGINT AS total FROM i GROUP BY ref, strand, isl""")
 def cluster_merge(spark, d):
     r = V.first_parts(spark, d).select("ref", "strand", R.start("parts").alias("s"), R.end("parts").alias("e"), "cnt")
@@ -465,7 +465,7 @@ def cluster_merge(spark, d):
 
 
 @query(f"""WITH {RD}, m AS (SELECT *, max(e1) OVER (PARTITION BY ref, strand ORDER BY s1, e1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM reads),
-  i AS (SELECT *, sum(CASE WHEN p IS NULL OR s1 >= p + 15 THEN 1 ELSE 0 END) OVER (PARTITION BY ref, strand ORDER BY s1, e1 ROWS UNBOUNDED PRECEDING) AS isl FROM m)
+  i AS (SELECT *, sum(CASE WHEN p IS NULL OR s1 >= p + 15 THEN 1 ELSE 0 END) OVER (PARTITION BY ref, strand ORDER BY s1, e1, p NULLS FIRST ROWS UNBOUNDED PRECEDING) AS isl FROM m)
   SELECT ref, strand, min(s1) AS s, max(e1) AS e, count(*) AS n FROM i GROUP BY ref, strand, isl HAVING count(*) > 1""")
 def cluster_tolerance(spark, d):
     r = V.first_parts(spark, d).select("ref", "strand", R.start("parts").alias("s"), R.end("parts").alias("e"))
@@ -690,7 +690,7 @@ def roc_auc(spark, d):
     return stats.roc_auc(s, "x", "y").select(F.round("auc", 9).alias("auc"))
 
 
-@query("""WITH s AS (SELECT c_mktsegment AS g, c_nationkey % 2 = 0 AS y, c_acctbal AS x FROM customer), u AS (SELECT a.g, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS u FROM s a JOIN s b ON a.g = b.g AND a.y AND NOT b.y GROUP BY a.g) SELECT g, round(u, 4) AS u FROM u""")
+@query("""WITH s AS (SELECT c_mktsegment AS g, c_nationkey % 2 = 0 AS y, c_acctbal AS x FROM customer), u AS (SELECT a.g, sum(CASE WHEN a.x > b.x THEN 1.0 WHEN a.x = b.x THEN 0.5 ELSE 0 END) AS u FROM s a JOIN s b ON a.g = b.g AND a.y AND NOT b.y GROUP BY a.g) SELECT g, round(u, 4)::DOUBLE AS u FROM u""")
 def mann_whitney(spark, d):
     s = V.table(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), (F.col("c_nationkey") % 2 == 0).alias("y"), F.col("c_acctbal").alias("x"))
     return stats.mann_whitney(s, ["g"], "y", "x").select("g", F.round("u", 4).alias("u"))
