@@ -33,6 +33,13 @@ class Block:
     data: np.ndarray
     carry: pa.Array | None = None
 
+    def only(self, slots: np.ndarray) -> tuple[Block, np.ndarray]:
+        """A block of these documents only, and the place of each slot in it."""
+        asked, place = np.unique(slots, return_inverse=True)
+        offsets = np.cumsum(self.lens + 1) - self.lens - 1
+        data = np.concatenate([self.data[:0], *(self.data[offsets[d] : offsets[d] + self.lens[d] + 1] for d in asked)])
+        return Block(self.bid, self.doc_id.take(pa.array(asked)), self.flag[asked], self.lens[asked], data), place
+
 
 def _build(block_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,16 +220,14 @@ def _members(k: int, path: str):
             slot, hub, salt = wanted.of(block.bid)
             if not len(slot):
                 continue
-            asked = np.unique(slot)
-            offsets = np.cumsum(block.lens + 1) - block.lens - 1
-            part = B.Block(block.bid, block.doc_id, block.flag, block.lens[asked], np.concatenate([block.data[offsets[d] : offsets[d] + block.lens[d] + 1] for d in asked]))
-            sets = dict(zip(asked.tolist(), _sets(part, k), strict=True))
+            part, place = block.only(slot)
+            sets = _sets(part, k)
             uid = slot + (block.bid << _SLOT)
-            size = np.cumsum([sets[s].nbytes for s in slot.tolist()]) // (4 << 20)
+            size = np.cumsum([sets[i].nbytes for i in place]) // (4 << 20)
             cut = [0, *(np.flatnonzero(np.diff(size)) + 1), len(slot)]
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                at = slice(i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[s].tobytes() for s in slot[at].tolist()], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
+            for start, stop in zip(cut[:-1], cut[1:], strict=True):
+                at = slice(start, stop)
+                yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[i].tobytes() for i in place[at]], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
 
     return run
 
