@@ -151,18 +151,21 @@ def read_stream(stream) -> Iterator[dict]:
         }
 
 
-def _writer(folder: str, archive_bytes: int):
+def _writer(folder: str, archive_bytes: int, revisits: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _scratch.filesystem(folder)
         out, name, size, count = None, "", 0, 0
-        done = []
+        done, known = [], (None, {})
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for i, (row, page_id, url, digest) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
+                if known[0] != row >> 33:  # the revisits among the rows of one task of the first pass
+                    side = _scratch.read_side_table(f"{revisits}/grp={row >> 33}", ["row", "refers_to"])
+                    known = row >> 33, {} if side is None else dict(zip(side.column("row").to_pylist(), side.column("refers_to").to_pylist(), strict=True))
                 if out is None:
                     fs.create_dir(path, recursive=True)
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                member = record(*row)
+                member = record(page_id, url, batch.column(3)[i].as_py(), digest, known[1].get(row), row in known[1])
                 out.write(member)
                 size, count = size + len(member), count + 1
                 if size >= archive_bytes:
@@ -182,21 +185,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of rows with equal payloads of at least ``least`` bytes, that with the smallest id is the response and the others revisit it;
     of repeated rows with that id one is. A null payload is empty, a null id is never referred to and
     always a response, a null url has no header, control characters in a url are percent-encoded.
+
+    Rows are numbered and written once to the shared folder; only their numbers, ids and digests are
+    shuffled, never payloads.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    copies = (
-        rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull())
-        .groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        .select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("first_row"))
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"),
     )
-    joined = rows.join(copies, "digest", "left")
-    revisit = F.col("page_id").isNotNull() & F.col("refers_to").isNotNull() & (F.col("row") != F.col("first_row"))
-    out = joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
-    return _scratch.stored(out.mapInArrow(_writer(folder, archive_bytes), "archive string, records long, bytes long"), "archives")
+    rows = _scratch.stored(rows, "pages")
+    light = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).select("row", "page_id", "digest")
+    first = light.groupBy("digest").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = light.join(first, "digest").where(F.col("row") != F.col("first.row")).select("row", F.col("first.page_id").alias("refers_to"), F.shiftright("row", 33).alias("grp"))
+    revisits = _scratch.materialize(again.repartition("grp"), "revisits", partition_by="grp")
+    sent = rows.select("row", "page_id", "url", "payload", "digest")
+    return _scratch.stored(sent.mapInArrow(_writer(folder, archive_bytes, revisits), "archive string, records long, bytes long"), "archives")
 
 
 def _reader(folder: str, with_payload: bool):
