@@ -63,7 +63,8 @@ def em_proportions(classes: DataFrame, members: str = "members", n: str = "n", t
     """
     from ..plans import store
 
-    flat = store.stored(classes.select(F.monotonically_increasing_id().alias("c"), F.col(n).cast("double").alias("n"), F.explode(members).alias("m")), "em")
+    numbered = store.stored(classes.select(F.monotonically_increasing_id().alias("c"), F.col(n).cast("double").alias("n"), F.col(members).alias("ms")), "em")
+    flat = numbered.select("c", "n", F.explode("ms").alias("m"))
     total = classes.agg(F.sum(n)).first()[0] or 0
     k = flat.select("m").distinct().count()
     pi = flat.select("m").distinct().withColumn("pi", F.lit(1.0 / max(k, 1)))

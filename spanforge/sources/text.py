@@ -136,10 +136,14 @@ def sequence_chunks(fasta: DataFrame, size: int = 1 << 16) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence, quality); entries of exactly four lines."""
-    rows = spark.read.option("lineSep", "\n@").text(path)
-    f = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return rows.select(f[0].alias("name"), f[1].alias("sequence"), f[3].alias("quality"))
+    """(name, sequence, quality); entries of exactly four lines, counted in file order."""
+    from ..operators import tracks
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    rows = tracks.numbered(lines, ["file", "block", "line"], None, "rn")
+    nth = lambda i: F.max(F.when(F.col("rn") % 4 == i, F.col("value")))
+    entries = rows.groupBy(F.floor(F.col("rn") / 4).alias("entry")).agg(nth(0).alias("name"), nth(1).alias("sequence"), nth(3).alias("quality"))
+    return entries.select(F.regexp_replace("name", "^@", "").alias("name"), "sequence", "quality")
 
 
 def sniff(lines: list[str]) -> tuple[str, bool, list[str]]:
