@@ -150,8 +150,8 @@ def merge_sorted(key: list[str], *frames: DataFrame) -> DataFrame:
 
 def positional_zip(order: list[Column | str], left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of equal position side by side, as structs a and b; fails if the lengths differ."""
-    a = tracks.numbered(left.select(F.struct("*").alias("a"), *left.columns), order, None, "i").select("i", "a")
-    b = tracks.numbered(right.select(F.struct("*").alias("b"), *right.columns), order, None, "i").select("i", "b")
+    a = tracks.numbered(left.select("*", F.struct("*").alias("_row")), order, None, "_i").select(F.col("_i").alias("i"), F.col("_row").alias("a"))
+    b = tracks.numbered(right.select("*", F.struct("*").alias("_row")), order, None, "_i").select(F.col("_i").alias("i"), F.col("_row").alias("b"))
     joined = a.join(b, "i", "full_outer")
     bad = F.col("a").isNull() | F.col("b").isNull()
     return joined.where(F.when(bad, F.raise_error(F.lit("inputs differ in length")).cast("boolean")).otherwise(F.lit(True)))

@@ -200,3 +200,57 @@ def max_scoring_segment(df: DataFrame, keys: list[str], pos: str, score: str) ->
     rows = df.withColumn("_s", F.sum(score).over(w))
     before = F.least(F.lit(0), F.coalesce(F.min("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return rows.withColumn("_best", F.col("_s") - before).groupBy(*keys).agg(F.max("_best").alias("best"))
+
+
+def combine_p_values(df: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """Fisher's combined p per key: the tail of a chi-square with 2k degrees of freedom, a finite sum."""
+    g = df.groupBy(*keys).agg((-F.sum(F.log(p))).alias("_x"), F.count("*").cast("int").alias("_n"))
+    term = F.aggregate(F.sequence(F.lit(1), F.col("_n")), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")), lambda a, i: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * F.col("_x") / i).alias("t")))
+    return g.select(*keys, F.col("_n").alias("tests"), (F.exp(-F.col("_x")) * term["s"]).alias("p"))
+
+
+def mantel_haenszel(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """One row: the common odds ratio of 2x2 tables and the chi-square statistic without correction."""
+    n = F.col(a) + F.col(b) + F.col(c) + F.col(d)
+    rows = df.where(n > 1)
+    expected = (F.col(a) + F.col(b)) * (F.col(a) + F.col(c)) / n
+    variance = (F.col(a) + F.col(b)) * (F.col(c) + F.col(d)) * (F.col(a) + F.col(c)) * (F.col(b) + F.col(d)) / (n * n * (n - 1))
+    s = rows.agg(F.sum(F.col(a) * F.col(d) / n).alias("x"), F.sum(F.col(b) * F.col(c) / n).alias("y"), F.sum(F.col(a) - expected).alias("e"), F.sum(variance).alias("v"))
+    return s.select((F.col("x") / F.col("y")).alias("odds_ratio"), (F.col("e") * F.col("e") / F.col("v")).alias("chi2"))
+
+
+def cross_correlation(a: DataFrame, b: DataFrame, keys: list[str], pos: str, value: str, lags: range) -> DataFrame:
+    """Pearson correlation of two tracks at each lag of the second, over positions that both have."""
+    shifted = b.select(*keys, F.col(value).alias("_b"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"), F.col(pos).alias("_p")).withColumn(pos, F.col("_p") - F.col("lag"))
+    return a.join(shifted, [*keys, pos]).groupBy("lag").agg(F.corr(value, "_b").alias("r"), F.count("*").alias("n"))
+
+
+def iqr_outliers(df: DataFrame, keys: list[str], value: str, cutoff: float = 1.5, out: str = "outlier") -> DataFrame:
+    """Rows beyond the quartiles by so many interquartile ranges."""
+    q = df.groupBy(*keys).agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+    width = (F.col("_q3") - F.col("_q1")) * cutoff
+    return df.join(q, keys).withColumn(out, (F.col(value) < F.col("_q1") - width) | (F.col(value) > F.col("_q3") + width)).drop("_q1", "_q3")
+
+
+def digamma(x: float) -> float:
+    """By recurrence to x >= 8 and an asymptotic series."""
+    shift = 0.0
+    while x < 8:
+        shift -= 1 / x
+        x += 1
+    y = 1 / (x * x)
+    return shift + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+
+
+def posterior_mean_fold_change(df: DataFrame, a: str, b: str, prior_a: float = 1.0, prior_b: float = 1.0, out: str = "lfc") -> DataFrame:
+    """Posterior mean of the log2 fold change under a beta prior."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(**{out: [(digamma(x + prior_a) - digamma(y + prior_b)) / math.log(2) for x, y in zip(pdf[a], pdf[b], strict=True)]})
+
+    return df.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {out} double")
+
+
+def ecdf(df: DataFrame, keys: list[str], value: str, out: str = "ecdf") -> DataFrame:
+    return df.withColumn(out, F.cume_dist().over(Window.partitionBy(*keys).orderBy(value)))
