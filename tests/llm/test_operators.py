@@ -452,3 +452,56 @@ def test_pipeline(spark):
         assert docs.columns == corpus_pipeline.COLUMNS
     texts_left = [r.text for r in docs.collect()]
     assert 0 < len(texts_left) <= len(rows) and len(set(texts_left)) == len(texts_left)
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_line_dedup_brute_force(spark, monkeypatch, tile):
+    """All pairs of distinct lines, linked by the two conditions; the first occurrence of a group stays."""
+    monkeypatch.setattr(line_dedup, "TILE_ROWS", tile)
+    monkeypatch.setattr(line_dedup, "HUB_ROWS", 2)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    seeds = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 70))] for _ in range(25)]
+
+    def line():
+        w = list(rng.choice(seeds))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return " ".join(w) if rng.random() < 0.8 else " ".join(w).upper() + " !"
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 5))), "s") for i in range(120)] + [(None, line(), "s")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    norm = lambda x: tuple(re.findall("[a-z0-9]+", x.lower()))
+    first = {}
+    for i, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        for j, x in enumerate(text.split("\n")):
+            first.setdefault(norm(x), ((i is None, i), j))
+    distinct = list(first)
+    sims = [int(line_dedup._Lines(block_of(" ".join(x))).simhash(np.array([0]))[0]) for x in distinct]
+    group = list(range(len(distinct)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    fuzzy = 0
+    for a in range(len(distinct)):
+        for b in range(a):
+            if (sims[a] ^ sims[b]).bit_count() <= 3:
+                most = max(len(distinct[a]), len(distinct[b]))
+                if 100 * (most - line_dedup.edit_distance(list(distinct[a]), list(distinct[b]))) >= 80 * most:
+                    fuzzy += 1
+                    x, y = root(a), root(b)
+                    group[max(x, y)] = min(x, y)
+    assert fuzzy > 20
+    keep = {}
+    for k, x in enumerate(distinct):
+        keep[root(k)] = min(keep.get(root(k), first[x]), first[x])
+    kept = {keep[root(k)]: k for k in range(len(distinct))}
+    for i, text, _ in rows:
+        want = []
+        for j, x in enumerate(text.split("\n")):
+            if ((i is None, i), j) in kept:
+                want.append(x)
+        assert got[i] == "\n".join(want)
