@@ -7,9 +7,9 @@ of their overlap, from the bits in which two parity bitmaps differ: each such bi
 only one side has. What is left is decided by intersecting sorted arrays.
 
 Large groups don't expand into all pairs. A first round pairs each row with the smallest row of its
-band only and joins what links into components. Two more pair each row with that row of another component
-which has the most possible partners. The last round decides all pairs left between
-components. Large groups are split into tiles of bounded size. No partner is capped.
+band only and joins what links into components. Later rounds decide all pairs left between components, but
+where a tile has too many, it pairs each row with that of the most possible partners first and leaves the rest to
+the next round; the last round leaves none. Large groups are split into tiles of bounded size. No partner is capped.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LEAST_SIGNATURE_BITS = 256
 #: How many frequent windows the common order knows. It orders only; results don't depend on it.
 FREQUENT_WINDOWS = 1 << 17
 TILE_ROWS = 2048
+#: Pairs a row beyond which a tile is left to a later round.
+PAIRS_PER_ROW = 8
 HUB_ROWS = 512
 _SLOT = 22
 
@@ -322,10 +324,11 @@ class _Bitmaps:
         return out
 
 
-def _tile(num: int, den: int, forest: bool):
+def _tile(num: int, den: int, limit: int | None):
     """Pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (token, ti, tj).
 
-    With ``forest``, of each tile every row with its most central partner only.
+    Of a tile with more than ``limit`` pairs a row every row comes with its most central partner only,
+    marked as partial.
     """
 
     def finish(cols: list[np.ndarray], words: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -333,7 +336,7 @@ def _tile(num: int, den: int, forest: bool):
         bitmaps = _Bitmaps(words, lengths)
         new = np.append(True, (token[1:] != token[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))
         head = np.flatnonzero(new)
-        pending, waiting, out = [], 0, [np.empty((0, 2), np.int64)]
+        pending, waiting, out = [], 0, [np.empty((0, 3), np.int64)]
 
         def decide() -> None:
             a, b = np.concatenate([x for x, _, _ in pending]), np.concatenate([y for _, y, _ in pending])
@@ -342,17 +345,22 @@ def _tile(num: int, den: int, forest: bool):
             most = (total - bitmaps.differ(a, b)) // 2
             fine = den * most >= num * (total - most)
             a, b, group = a[fine], b[fine], group[fine]
-            found = [np.stack([a, b], axis=1)]
-            if forest and len(a):
-                cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-                found = [np.stack(central_partners(a[i:j], b[i:j]), axis=1) if j - i > 3 else found[0][i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            pairs = np.sort(uid[np.concatenate(found)], axis=1)
-            out.append(np.unique(pairs, axis=0))
+            found = [np.empty((0, 3), np.int64)]
+            cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(a) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                x, y, partial = a[i:j], b[i:j], limit is not None and j - i > limit * sizes[group[i]]
+                if partial:
+                    x, y = central_partners(x, y)
+                u, v = np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
+                found.append(np.stack([u, v, np.full(len(u), partial)], axis=1))
+            out.append(np.unique(np.concatenate(found), axis=0))
             pending.clear()
 
+        sizes = {}
         for s, e in zip(head, np.append(head[1:], len(token)), strict=True):
             if e - s < 2:
                 continue
+            sizes[s] = e - s
             if ti[s] == tj[s]:
                 a, b = np.triu_indices(e - s, 1)
             else:
@@ -370,7 +378,7 @@ def _tile(num: int, den: int, forest: bool):
         if pending:
             decide()
         pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "uid"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["hub", "uid", "partial"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], []
@@ -445,8 +453,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid")
     links = _verify(blocks, _scratch.stored(pairs, "pairs"), k, num, den, parts)
 
-    # further rounds: rows of different components, at last all of their pairs
-    for forest in (True, True, False):
+    # further rounds: rows of different components, until all of their pairs are decided
+    for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
         comps = _scratch.stored(components(links), "components")
         labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
         crossing = labelled.repartition(parts, "token").mapInArrow(_cross(num, den), "token long, uid long, n long, early boolean, comp long, size long")
@@ -455,10 +463,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
         placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "early", "comp").join(sig.drop("size"), "uid")
         placed = placed.select("token", "ti", "tj", "t", "uid", "n", "early", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
-        pairs = _scratch.stored(placed.mapInArrow(_tile(num, den, forest), "hub long, uid long").distinct(), "pairs")
-        if pairs.isEmpty():
+        pairs = placed.mapInArrow(_tile(num, den, limit), "hub long, uid long, partial boolean").groupBy("hub", "uid").agg(F.max("partial").alias("partial"))
+        pairs = _scratch.stored(pairs, "pairs")
+        links = links.union(_verify(blocks, pairs.select("hub", "uid"), k, num, den, parts))
+        if pairs.where("partial").isEmpty():
             break
-        links = links.union(_verify(blocks, pairs, k, num, den, parts))
     return Join(sets.drop("sig", "frequent", "times"), links, blocks)
 
 
