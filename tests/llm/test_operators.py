@@ -107,10 +107,12 @@ def test_jaccard(spark):
     assert jaccard.near_duplicates(frame(spark, [])).collect() == []
 
 
-def test_jaccard_chains_and_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 8])
+def test_jaccard_chains_and_tiles(spark, monkeypatch, limit):
     """Many copies, each linked to some only, in tiles of a few rows."""
     monkeypatch.setattr(jaccard, "TILE_ROWS", 8)
     monkeypatch.setattr(jaccard, "HUB_ROWS", 4)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", limit)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -459,6 +461,7 @@ def test_line_dedup_brute_force(spark, monkeypatch, tile):
     """All pairs of distinct lines, linked by the two conditions; the first occurrence of a group stays."""
     monkeypatch.setattr(line_dedup, "TILE_ROWS", tile)
     monkeypatch.setattr(line_dedup, "HUB_ROWS", 2)
+    monkeypatch.setattr(line_dedup, "PAIRS_PER_ROW", tile % 7)
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     seeds = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 70))] for _ in range(25)]
