@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import counts as C
 from ..functions import region as R
 from ..functions import text as X
-from ..operators import flow, joins, program, scan, stats, tracks
+from ..operators import flow, frames, joins, program, reads, scan, stats, tracks
 from ..operators.flow import Flow
 from ..operators.table import View
 from . import views as V
@@ -792,3 +792,86 @@ def stream_windowed_counts(spark, d):
 
     return streaming.windowed_counts_batch(V.table(spark, d, "events"))
 
+
+
+# --- frames, further statistics, reads payloads ----------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, sum(o) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (SELECT user_id, event_id, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS o FROM events)")
+def multiplex_runs(spark, d):
+    e = V.table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return Flow(e).multiplex_runs(["user_id"], ["event_id"], "event_type").df.select("user_id", "event_id", "run")
+
+
+@query("SELECT c_custkey, CASE WHEN k = 0 THEN c_mktsegment ELSE c_mktsegment || '_' || k END AS u FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer)")
+def make_unique_names(spark, d):
+    return frames.make_unique(V.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], "u").select("c_custkey", "u")
+
+
+@query("SELECT p_partkey, substr(p_brand, 1, n) AS prefix FROM part, (VALUES (5), (6), (7)) t(n) WHERE length(p_brand) >= n AND substr(p_brand, 1, n) IN (SELECT substr(p_brand, 1, 5) FROM part UNION SELECT substr(p_brand, 1, 7) FROM part WHERE p_partkey % 11 = 0)")
+def prefix_join(spark, d):
+    p = V.table(spark, d, "part").select("p_partkey", "p_brand")
+    known = p.select(F.substr("p_brand", F.lit(1), F.lit(5)).alias("prefix")).union(p.where("p_partkey % 11 = 0").select(F.substr("p_brand", F.lit(1), F.lit(7)))).distinct()
+    return frames.prefix_join(p, "p_brand", known, "prefix", 7).select("p_partkey", "prefix")
+
+
+@query(f"WITH s AS (SELECT DISTINCT substr({_DNA}, 1, 5) AS q FROM part) SELECT x.q AS a, y.q AS b FROM s x JOIN s y ON x.q < y.q AND hamming(x.q, y.q) = 1")
+def mismatch_graph(spark, d):
+    return frames.mismatch_graph(_dna(spark, d).select(F.substr("seq", F.lit(1), F.lit(5)).alias("w")), "w")
+
+
+@query(f"WITH {TK}, q AS (SELECT ref, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM track GROUP BY ref) SELECT t.ref, pos FROM track t JOIN q ON t.ref = q.ref WHERE value < a - 0.2 * (b - a) OR value > b + 0.2 * (b - a)")
+def iqr_outliers(spark, d):
+    return stats.iqr_outliers(V.numeric_track(spark, d), ["ref"], "value", 0.2).where("outlier").select("ref", "pos")
+
+
+@query(f"WITH {TK}, a AS (SELECT user_id, pos // 7 AS p, sum(value) AS v FROM track GROUP BY ALL), l AS (SELECT unnest(range(-2, 3)) AS lag) SELECT lag::INT AS lag, count(*) AS n, round(corr(a.v, b.v), 6) AS r FROM l, a JOIN a b ON a.user_id = b.user_id AND b.p - lag = a.p GROUP BY lag")
+def cross_correlation(spark, d):
+    a = V.numeric_track(spark, d).groupBy("user_id", F.floor(F.col("pos") / 7).alias("p")).agg(F.sum("value").alias("v"))
+    return stats.cross_correlation(a, a, ["user_id"], "p", "v", range(-2, 3)).select("lag", "n", F.round("r", 6).alias("r"))
+
+
+@query("SELECT n_regionkey, count(*)::INT AS tests, round(-2 * sum(ln((n_nationkey + 1) / 26.0::DOUBLE)), 6) AS chi2 FROM nation GROUP BY ALL")
+def combine_p_values(spark, d):
+    n = V.table(spark, d, "nation").select("n_regionkey", ((F.col("n_nationkey") + 1) / 26.0).alias("p"))
+    chi2 = n.groupBy("n_regionkey").agg(F.round(-2 * F.sum(F.log("p")), 6).alias("chi2"))
+    return stats.combine_p_values(n, ["n_regionkey"], "p").where("p between 0 and 1").join(chi2, "n_regionkey").select("n_regionkey", "tests", "chi2")
+
+
+@query("""WITH t AS (SELECT c_nationkey, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 = 0) AS a, count(*) FILTER (c_acctbal <= 0 AND c_custkey % 2 = 0) AS b, count(*) FILTER (c_acctbal > 0 AND c_custkey % 2 = 1) AS c, count(*) FILTER (c_acctbal <= 0 AND c_custkey % 2 = 1) AS d FROM customer GROUP BY ALL),
+  s AS (SELECT *, (a + b + c + d)::DOUBLE AS n FROM t WHERE a + b + c + d > 1) SELECT round(sum(a * d / n) / sum(b * c / n), 6) AS odds_ratio FROM s""")
+def mantel_haenszel(spark, d):
+    rich, even = F.col("c_acctbal") > 0, F.col("c_custkey") % 2 == 0
+    t = V.table(spark, d, "customer").groupBy("c_nationkey").agg(F.count_if(rich & even).alias("a"), F.count_if(~rich & even).alias("b"), F.count_if(rich & ~even).alias("c"), F.count_if(~rich & ~even).alias("d"))
+    return stats.mantel_haenszel(t, "a", "b", "c", "d").select(F.round("odds_ratio", 6).alias("odds_ratio"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, o DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, min(ts) AS "start", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_clusters(spark, d):
+    from ..streaming import counts as streaming
+
+    return streaming.session_clusters(V.table(spark, d, "events"), ["user_id"], "6 hours").select("user_id", "start", "n")
+
+
+def _payload(spark, d, k: int) -> DataFrame:
+    """Reads of even or odd suppliers as payload rows with two conditions."""
+    r = V.reads(spark, d).where(F.col("l_suppkey") % 2 == k)
+    none = F.array().cast("array<struct<type:string,pos:int,genomic:string,read:string,second:boolean>>")
+    own = F.array(*[F.sum(F.when(F.col("sample") == 2 * i + k, F.col("cnt")).otherwise(0)).cast("double") for i in range(2)])
+    g = r.groupBy("ref", "strand", "parts").agg(own.alias("counts"), F.max("multiplicity").cast("int").alias("multiplicity"))
+    return g.select("ref", "strand", "parts", F.array(F.struct("counts", "multiplicity", none.alias("vars"))).alias("distincts"))
+
+
+@query(f"WITH {RD} SELECT ref, strand, s1, e1, s2, e2, sum(CASE WHEN sample = 0 THEN cnt ELSE 0 END)::DOUBLE AS c0, sum(CASE WHEN sample = 2 THEN cnt ELSE 0 END)::DOUBLE AS c1, sum(CASE WHEN sample = 1 THEN cnt ELSE 0 END)::DOUBLE AS c2, sum(CASE WHEN sample = 3 THEN cnt ELSE 0 END)::DOUBLE AS c3 FROM reads GROUP BY ALL")
+def merge_storages(spark, d):
+    m = reads.merge_storages([_payload(spark, d, 0), _payload(spark, d, 1)], [2, 2])
+    p, c = F.col("parts"), F.get("distincts", F.lit(0))["counts"]
+    return m.select("ref", "strand", p[0]["s"].alias("s1"), p[0]["e"].alias("e1"), p[1]["s"].alias("s2"), p[1]["e"].alias("e2"), *[F.get(c, F.lit(i)).alias(f"c{i}") for i in range(4)])
+
+
+@query(f"WITH {RD} SELECT ref, strand, count(*) AS n, sum(greatest(0, least(e1, 3000) - greatest(s1, 1000)) + greatest(0, least(e2, 3000) - greatest(s2, 1000)))::BIGINT AS inside FROM reads WHERE s1 < 3000 AND e2 > 1000 GROUP BY ALL")
+def region_restrict(spark, d):
+    w = F.array(R.part(1000, 3000))
+    r = V.reads(spark, d).where((R.start("parts") < 3000) & (R.end("parts") > 1000))
+    return r.groupBy("ref", "strand").agg(F.count("*").alias("n"), F.sum(R.length(R.intersect("parts", w))).alias("inside"))
