@@ -8,6 +8,7 @@ blocks reads its own. Texts are never shuffled, and a key costs about six bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -96,7 +97,17 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, flag: object = None
     return blocks, int(n_bytes or 0)
 
 
+def _return_memory() -> None:
+    """Let the C library give arrays back to the system once they are freed, whatever their size; by
+    itself it keeps more and more of them for later."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    _return_memory()
     for batch in batches:
         for i in range(batch.num_rows):
             yield Block(

@@ -29,6 +29,8 @@ from ._text import END_OF_TEXT, START_OF_TEXT, Words, mix
 
 U64 = np.uint64
 _REP = U64(1 << 63)
+#: Smaller blocks than elsewhere: a block's tokens, pairs and answers are held together.
+BLOCK_BYTES = (2 << 20) - 1
 
 
 def discounts(counts_of_counts: list[float], k: int, least: int = 1) -> np.ndarray:
@@ -169,7 +171,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     flag = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(True))
-    blocks, n_bytes = B.block_table(docs, id_col, text_col, flag)
+    blocks, n_bytes = B.block_table(docs, id_col, text_col, flag, block_bytes=BLOCK_BYTES)
     buckets = _scratch.partitions_for(spark, n_bytes)
     texts = blocks.select(F.sum(F.size(F.filter("flag", lambda x: ~x)))).first()[0] or 0
 
@@ -184,26 +186,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = B.Answers(words, U64)
-        for block in B.each_block(batches):
+
+        def one(block: B.Block) -> Iterator[pa.RecordBatch]:
             p = _Pairs(_Tokens(block), words_of.of(block.bid), base, min_count)
             yield from B.sent_rows(block.bid, p.keys, [p.uses, p.singles], buckets)
 
+        for block in B.each_block(batches):
+            yield from one(block)
+
     pairs, rows = B.exchange(blocks.mapInArrow(pairs_out, B.SENT_SCHEMA), buckets, [np.uint32, np.uint32], _count(k + 1, True), "pairs")
     _, _, *counts = B.summed(spark, rows, k + 3)
     model = base._replace(pair_discount=discounts(counts, k, min_count))
 
     def masses_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, pairs_of = B.Answers(words, U64), B.Answers(pairs, U64)
-        for block in B.each_block(batches):
+
+        def one(block: B.Block) -> Iterator[pa.RecordBatch]:
             p = _Pairs(_Tokens(block), words_of.of(block.bid), model, min_count)
             c = _Contexts(p, pairs_of.of(block.bid), model, min_count)
             yield from B.sent_rows(block.bid, c.keys, [c.kept, c.words], buckets)
 
+        for block in B.each_block(batches):
+            yield from one(block)
+
     masses, _ = B.exchange(blocks.mapInArrow(masses_out, B.SENT_SCHEMA), buckets, [np.float64, np.float64], _masses, "masses")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, pairs_of, masses_of = B.Answers(words, U64), B.Answers(pairs, U64), B.Answers(masses, np.complex128)
-        for block in B.each_block(batches):
+
+        def one(block: B.Block) -> pa.RecordBatch:
             t = _Tokens(block)
             p = _Pairs(t, words_of.of(block.bid), model, min_count)
             estimate = word_estimate(p.count, model)
@@ -220,10 +231,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             estimate[have] = r[have] * np.where(r[have] <= k, model.pair_discount[np.minimum(r[have], k)], 1) / events[have]
             plain = np.log10((p.count + 0.1) / (model.n + 0.1 * (model.v + 1)))
             total_of = lambda x: np.add.reduceat(x, t.bounds[:-1])
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [block.doc_id.cast(pa.int64()), pa.array(block.flag), pa.array(t.counts.astype(np.int64)), pa.array(total_of((p.count > 0).astype(np.int64))),
                  pa.array(np.full(len(t.counts), int(model.n))), pa.array(np.full(len(t.counts), int(model.v))), pa.array(total_of(plain)), pa.array(total_of(np.log10(estimate)))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "distinct_tokens", "base_score", "score"],
             )
 
+        for block in B.each_block(batches):
+            yield one(block)
+
     return blocks.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, distinct_tokens long, base_score double, score double")
