@@ -42,7 +42,7 @@ def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), most_bits=None)
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=1, most_bits=None)
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

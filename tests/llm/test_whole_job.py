@@ -67,3 +67,10 @@ def test_similar_lines_share_a_first_word_pair():
         seed = rng.random()
         first = [set(sorted(set(pairwise(x)), key=lambda p: hash((p, seed)))[: int(line_dedup._prefix(np.array([len(x)]), 80, 100)[0])]) for x in (a, b)]
         assert first[0] & first[1]
+
+
+def test_line_dedup_short_lines(spark, folder):
+    """Exact copies go however short, and in scripts without spaces; lines without a word stay."""
+    rows = [(1, "Les.\n\nthe thin line\n長い行がここに繰り返されている", "s"), (2, "les\n--\nThe thin  line!\n長い行がここに繰り返されている\nthe thick line", "s"), (3, "LES\n--\n\nnew", "s")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("--\nthe thick line", 3), 3: ("--\n\nnew", 1)}
