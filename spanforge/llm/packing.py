@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import _scratch
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: The vocabulary's one special token.
+END, END_ID = "<|endoftext|>", 50256
 GROUP_DOCS = 8192
 GROUP_TOKENS = 8 << 20
 
@@ -117,10 +119,10 @@ def encoder(name: str):
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: END_ID})
 
 
-def _pack(tokenizer: str, capacity: int):
+def _pack(tokenizer: str, capacity: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, group = TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
@@ -138,7 +140,8 @@ def _pack(tokenizer: str, capacity: int):
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-        encode = encoder(tokenizer).encode_ordinary
+        allowed = {END} if special else set()
+        encode = partial(encoder(tokenizer).encode, allowed_special=allowed, disallowed_special=())
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(np.array([*encode(text.as_py() or ""), 0], dtype="<u4"))
@@ -153,12 +156,13 @@ def _pack(tokenizer: str, capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = 1024, special: bool = False) -> DataFrame:
     """Pieces of the tokenised documents and their places in sequences of ``capacity`` tokens.
 
     Per piece: (doc_id, start, length, ids as little-endian 32-bit integers, doc_tokens, sequence_id,
     offset). A document's tokens are its text's ids and a final id 0; null text counts as empty, so
-    it has one token. Special tokens' names in a text are ordinary text. Null ids stay null; repeated
+    it has one token. The special token's name in a text is ordinary text, or with
+    ``special`` its id, as the tokenizers file has it by default. Null ids stay null; repeated
     rows are packed each. Groups hold up to GROUP_DOCS documents or GROUP_TOKENS tokens and one more
     document, in the order in which a hash of the row's number deals them out.
     """
@@ -168,4 +172,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
     n_bytes = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0]
     dealt = rows.repartition(_scratch.partitions_for(spark, n_bytes, 32 << 20), "deal").select("doc_id", "text")
-    return dealt.mapInArrow(_pack(tokenizer, capacity), PIECE_SCHEMA)
+    return dealt.mapInArrow(_pack(tokenizer, capacity, special), PIECE_SCHEMA)

@@ -28,7 +28,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024)
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, special=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

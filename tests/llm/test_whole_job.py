@@ -1,7 +1,7 @@
 """The registered queries do the whole job: nothing that their criterion asks for is left out."""
 
 import random
-import re
+import zlib
 from itertools import pairwise
 
 import numpy as np
@@ -74,3 +74,19 @@ def test_line_dedup_short_lines(spark, folder):
     rows = [(1, "Les.\n\nthe thin line\n長い行がここに繰り返されている", "s"), (2, "les\n--\nThe thin  line!\n長い行がここに繰り返されている\nthe thick line", "s"), (3, "LES\n--\n\nnew", "s")]
     got = {r.doc_id: (r.text, r.n_removed) for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("--\nthe thick line", 3), 3: ("--\n\nnew", 1)}
+
+
+def test_packing_by_the_tokenizers_file(spark, folder):
+    """The ids of the reference tokenizer as its file sets it up, special token included."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "plain é日本", "<|endoftext|", " <|endoftext|>\n\n y", "", None]
+    got = queries.op4_packing(spark, folder([(i, t, "s") for i, t in enumerate(texts)])).where("start = 0 and length = doc_tokens").collect()
+    reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = [[*reference.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert 50256 in want[0]
+    ids = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got}
+    assert len(ids) > 3
+    assert any(50256 in want[i] for i in ids)
+    assert all(x == (len(want[i]), zlib.crc32(np.array(want[i], "<u4").tobytes())) for i, x in ids.items())
