@@ -58,7 +58,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(10) == 0)
+    return katz.score_texts(_table(spark, sf_dir, "documents"), held_out=remainder(10) == 0, min_count=1)
 
 
 OP1 = """

@@ -1,13 +1,15 @@
 """The registered queries do the whole job: nothing that their criterion asks for is left out."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
 import pytest
 
-from spanforge.llm import line_dedup, queries
+from spanforge.llm import katz, line_dedup, queries
 
 
 @pytest.fixture
@@ -90,3 +92,35 @@ def test_packing_by_the_tokenizers_file(spark, folder):
     assert len(ids) > 3
     assert any(50256 in want[i] for i in ids)
     assert all(x == (len(want[i]), zlib.crc32(np.array(want[i], "<u4").tobytes())) for i, x in ids.items())
+
+
+def test_katz_keeps_pairs_seen_once(spark, folder):
+    """Scores with every pair of training in the table, the once seen ones by their discount."""
+    rng, k = random.Random(6), 5
+    docs = [[f"w{min(int(rng.paretovariate(0.7)), 90)}" for _ in range(rng.randint(1, 20))] for _ in range(150)]
+    got = {r.doc_id: r.score for r in queries.op9_katz(spark, folder([(i, " ".join(w), "s") for i, w in enumerate(docs)])).collect()}
+    uni, pair, n_texts = Counter(), Counter(), 0
+    for i, w in enumerate(docs):
+        if zlib.crc32(str(i).encode()) % 10:
+            n_texts += 1
+            uni.update([*w, None])
+            pair.update(zip(["<s>", *w], [*w, None], strict=True))
+    d1, d2 = (katz.discounts([sum(c == r for c in x.values()) for r in range(1, k + 2)], k) for x in (uni, pair))
+    assert d2[1] < 1
+    n = sum(uni.values())
+    kept = sum((d1[c] if c <= k else 1) * c for c in uni.values())
+    total = n if n - kept > 1e-9 * n else n + 1
+    p1 = {w: (d1[c] if c <= k else 1) * c / total for w, c in uni.items()}
+    unseen = 1 - sum(p1.values())
+    uni["<s>"] = n_texts
+    seen = defaultdict(dict)
+    for (h, w), c in pair.items():
+        seen[h][w] = (d2[c] if c <= k else 1) * c
+    events, back = {}, {}
+    for h, ws in seen.items():
+        mass = sum(ws.values())
+        events[h] = uni[h] if uni[h] - mass > 1e-9 * uni[h] else uni[h] + 1
+        back[h] = (events[h] - mass) / events[h] / (1 - sum(p1[w] for w in ws))
+    for i, w in enumerate(docs):
+        score = sum(math.log10(seen[h][x] / events[h] if x in seen.get(h, {}) else back.get(h, 1) * p1.get(x, unseen)) for h, x in zip(["<s>", *w], [*w, None], strict=True))
+        assert math.isclose(got[i], score, abs_tol=1e-6)
