@@ -114,6 +114,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
 
 #: The rules of the registered query.
 QUERY_RULES = [
-    host_rule("com", "/en/", "block"), host_rule("example.com", "/en/7", "allow"), host_rule("net", "/de/", "block"),
+    host_rule("com", "/en/", "block"), host_rule("example.com", "/en/7", "allow"), host_rule("net", "/de/", "allow"),
     host_rule("example.net", "/de/8", "block"), host_rule("org", "/es/", "block"),
 ]

@@ -9,7 +9,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
-from spanforge.llm import katz, line_dedup, queries
+from spanforge.llm import katz, line_dedup, queries, url_rules
 
 
 @pytest.fixture
@@ -124,3 +124,13 @@ def test_katz_keeps_pairs_seen_once(spark, folder):
     for i, w in enumerate(docs):
         score = sum(math.log10(seen[h][x] / events[h] if x in seen.get(h, {}) else back.get(h, 1) * p1.get(x, unseen)) for h, x in zip(["<s>", *w], [*w, None], strict=True))
         assert math.isclose(got[i], score, abs_tol=1e-6)
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/; the longest wins."""
+    assert [(r.name, r.verdict) for r in url_rules.QUERY_RULES] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    urls = {"http://a.net/de/1": ("net/de/", "allow"), "http://www.example.net/de/81": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"), "http://x.org/es/": ("org/es/", "block"), "http://x.org/" + "p/" * 500_000: (None, "allow"), "http://x.org/es/" + "q" * 1_000_000: ("org/es/", "block")}
+    rows = list(enumerate(urls))
+    spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: urls[u] for i, u in rows}
