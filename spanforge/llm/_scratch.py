@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the session's checkpoint folder (set here only where it is unset)."""
+    """A new folder name below the session's checkpoint folder. Where none is set, one of this machine
+    does for a local session; a cluster's executors would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spanforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanforge-{label}-{uuid.uuid4().hex}"
