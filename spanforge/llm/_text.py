@@ -2,7 +2,9 @@
 
 A block is the concatenation of whole texts as UTF-8 bytes, one space after each. Hashes are
 polynomials modulo 2^64 over random byte values, taken from running sums, so a hash of any span costs
-a few vector operations a byte whatever the span's length.
+a few vector operations a byte whatever the span's length. Such polynomials lose bits on sequences like
+Thue and Morse's, the more the longer they are: words of more than PLAIN_BYTES bytes are hashed one by one
+by another function, and spans can be hashed modulo a prime instead (``PrimeHash``).
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -82,7 +85,66 @@ class SpanHash:
         return out
 
 
+_PRIME = (1 << 31) - 1
+_PRIME_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2^62 modulo 2^31 - 1, in place."""
+    for _ in range(2):
+        high = x >> U64(31)
+        x &= U64(_PRIME)
+        x += high
+    x[x >= _PRIME] -= U64(_PRIME)
+    return x
+
+
+def _prime_powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _PRIME_POWERS.get(seed)
+    if have is None or len(have[0]) < n:
+        base = int(np.random.default_rng(seed + 2000).integers(1 << 20, _PRIME - 1))
+        size = 1 << max(16, int(n - 1).bit_length())
+        tables = []
+        for b in (base, pow(base, -1, _PRIME)):
+            out = np.empty(size, dtype=np.uint64)
+            out[0], filled, factor = 1, 1, b
+            while filled < size:
+                out[filled : 2 * filled] = _reduced(out[:filled] * U64(factor))
+                filled, factor = 2 * filled, factor * factor % _PRIME
+            tables.append(out)
+        have = tables[0], tables[1]
+        if size <= 1 << 23:
+            _PRIME_POWERS[seed] = have
+    return have[0][:n], have[1][:n]
+
+
+class PrimeHash:
+    """Hashes of spans of one byte array, by a polynomial modulo 2^31 - 1 with a random base: two
+    different spans of m bytes collide for at most m of the bases."""
+
+    def __init__(self, data: np.ndarray, seed: int = 1):
+        power, self.inverse = _prime_powers(seed, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        values = data.astype(U64)
+        values += U64(1)
+        values *= power[: len(data)]
+        np.cumsum(_reduced(values), out=self.sums[1:])  # below 2^31 each: no overflow below 2^33 bytes
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = self.sums[end] - self.sums[start]
+        x %= U64(_PRIME)
+        x *= self.inverse[start]
+        return _reduced(x)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of each span, from two polynomials modulo 2^31 - 1."""
+    return PrimeHash(data, 1).raw(start, end) << U64(31) | PrimeHash(data, 2).raw(start, end)
+
+
 PIECE_BYTES = 1 << 20
+#: Words up to this length are hashed by running sums.
+PLAIN_BYTES = 32
 
 
 class Words:
@@ -99,7 +161,10 @@ class Words:
             inside[1:-1] = word_byte[piece]
             step = np.diff(inside)
             s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            hashes.append(mix(SpanHash(piece, seed).raw(s, e) + (e - s).astype(U64)))
+            found = mix(SpanHash(piece, seed).raw(s, e) + (e - s).astype(U64))
+            for i in np.flatnonzero(e - s > PLAIN_BYTES).tolist():
+                found[i] = xxhash.xxh3_64_intdigest(piece[s[i] : e[i]], seed)
+            hashes.append(found)
             start.append(s + offsets[at])
             at = to
         self.hashes, self.starts, self.offsets = np.concatenate(hashes), np.concatenate(start), offsets

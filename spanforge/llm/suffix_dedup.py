@@ -12,7 +12,8 @@ before left undecided:
 2. Second digit, all ``length`` bytes, for every start that chose an undecided anchor. Groups of
    equal digits are exactly the repeated windows.
 
-Digits are 128 bits wide where they decide. No suffix, pair or text crosses the network, only digits.
+Digits are 128 bits wide where they decide; 31 of them are of a polynomial modulo a prime, which holds for
+any bytes, the others of polynomials modulo 2^64. No suffix, pair or text crosses the network, only digits.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _blocks as B
 from . import _scratch
-from ._text import SpanHash, mix
+from ._text import PrimeHash, SpanHash, mix
 
 U64 = np.uint64
 
@@ -62,7 +63,7 @@ class _Anchors:
         k = length - w + 1
         self.offsets = np.zeros(len(block.lens) + 1, dtype=np.int64)
         np.cumsum(block.lens + 1, out=self.offsets[1:])
-        self.h1 = SpanHash(block.data, 1)
+        self.h1, self.prime = SpanHash(block.data, 1), PrimeHash(block.data, 1)
         digit = self.h1.windows(k)
         self.lo = self.hi = np.empty(0, np.int64)
         self.pairs = np.empty(0, np.int64)
@@ -83,7 +84,8 @@ class _Anchors:
         self.lo, self.hi = starts[first], starts[np.append(first[1:], len(starts)) - 1]
         pos = at[first].astype(np.int64)
         key = mix(digit[pos])
-        seen = mix(self.h1.raw(self.lo, self.hi + length) + mix((pos - self.lo).astype(U64) * U64(1 << 20) + (self.hi - self.lo).astype(U64)))
+        seen = self.sound(mix(self.h1.raw(self.lo, self.hi + length)), self.lo, self.hi + length)
+        seen = mix(seen + mix((pos - self.lo).astype(U64) * U64(1 << 20) + (self.hi - self.lo).astype(U64)))
         order = np.lexsort((seen, key))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (seen[order][1:] != seen[order][:-1])
@@ -94,6 +96,10 @@ class _Anchors:
         self.count = np.minimum(np.diff(np.append(head, len(order))), 2).astype(np.uint8)
         self.head = order[head]
 
+    def sound(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """33 bits of a hash and the span's 31 bits modulo the prime."""
+        return h >> U64(31) << U64(31) | self.prime.raw(start, end)
+
     def ranges(self, which: np.ndarray) -> np.ndarray:
         """The starts that chose these anchors."""
         size = self.hi[which] - self.lo[which] + 1
@@ -150,7 +156,7 @@ class _Undecided:
         chosen = np.flatnonzero((per_anchor == UNDECIDED) | ((per_anchor == SPEAKER) & speaks))
         self.starts = anchors.ranges(chosen)
         a = mix(anchors.h1.raw(self.starts, self.starts + anchors.length))
-        b = mix(SpanHash(block.data, 2).raw(self.starts, self.starts + anchors.length)) if len(self.starts) else a
+        b = anchors.sound(mix(SpanHash(block.data, 2).raw(self.starts, self.starts + anchors.length)), self.starts, self.starts + anchors.length) if len(self.starts) else a
         order = np.lexsort((b, a))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])

@@ -134,3 +134,34 @@ def test_url_rules_are_those_of_the_contract(spark, tmp_path):
     spark.createDataFrame([(*r, None) for r in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.rule, r.verdict) for r in queries.op7_url_rules(spark, str(tmp_path)).collect()}
     assert got == {i: urls[u] for i, u in rows}
+
+
+def thue_morse(k):
+    x = "a"
+    for _ in range(k):
+        x += x.translate({97: 98, 98: 97})
+    return x
+
+
+def test_hashes_tell_thue_morse_words_apart(spark, folder):
+    """Polynomials modulo 2^64 give a Thue-Morse word and its complement one hash, whatever the base."""
+    from spanforge.llm import suffix_dedup
+    from spanforge.llm._text import Words, span_hash
+
+    pairs = [(x := thue_morse(k), x.translate({97: 98, 98: 97})) for k in (5, 6, 8, 10, 12)]
+    for a, b in pairs:
+        text = np.frombuffer(f"{a} {b} ".encode(), np.uint8)
+        assert len(set(Words(text, np.array([len(text) - 1])).hashes.tolist())) == 2
+        assert len(set(span_hash(text, np.array([0, len(a) + 1]), np.array([len(a), len(text) - 1])).tolist())) == 2
+    rows = [(i, " ".join(f"{w}{j}" for j in range(6)), "s") for i, w in enumerate(x for p in pairs for x in p)]
+    assert {r.doc_id: r.component_id for r in queries.op3_ngram_jaccard(spark, folder(rows)).collect()} == {i: i for i in range(len(rows))}
+    rows = [(1, pairs[3][0], "s"), (2, pairs[3][1], "s")]
+    data = [r[1].encode() for r in rows]
+    count = Counter(x[p : p + 400] for x in data for p in range(len(x) - 399))
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.digest(suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    for i, x in enumerate(data):
+        gone = bytearray(len(x))
+        for p in range(len(x) - 399):
+            if count[x[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
+        assert got[i + 1] == sum(gone)
