@@ -1,25 +1,32 @@
 """Exact n-gram Jaccard join in size-banded tiles with bitmap signatures.
 
 Equal sets collapse into one class first. Sets that can link share a word window among the first
-``n - ceil(t*n) + 1`` of a common order of windows (rare ones before frequent ones), so the rows of one window
-form a group; within it only rows of sizes in one band can link. Pairs of a tile are held against an upper bound
-of their overlap, from the bits in which two parity bitmaps differ: each such bit is a window that
-only one side has. What is left is decided by intersecting sorted arrays.
-
-Large groups don't expand into all pairs. A first round pairs each row with the smallest row of its
-band only and joins what links into components. Later rounds decide all pairs left between components, but
-where a tile has too many, it pairs each row with that of the most possible partners first and leaves the rest to
-the next round; the last round leaves none. Large groups are split into tiles of bounded size. No partner is capped.
+``n - ceil(t*n) + 1`` of a common order of windows (rare ones before frequent ones), and their sizes lie in
+one size band or in two neighbouring ones: rows of one window and band, with those of the next band, form a group.
+
+A first round pairs each row with the smallest row of its group's band and joins what links into
+components. Later rounds decide the pairs between components:
+
+* Groups of one component are done. Groups of windows that have the same rows by two minimum hashes, as the many windows
+  of one family of near copies have, are united, so that a row stands there once and not once a window.
+* A large group is cut into tiles. Rows of its largest component meet those of other components only, so they are
+  copied as often as the others have tiles.
+* Pairs of a tile are held against an upper bound of their overlap, from the bits in which two parity bitmaps
+  differ: each such bit is a window that only one side has. What is left is decided by intersecting
+  sorted arrays, the likeliest first, where the tile's links have not joined the two already. A set is sent once a tile.
+* Where a tile has too many pairs, it pairs each row with that of the most possible partners first and leaves the rest to the
+  next round; the last round leaves none. No partner is capped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _blocks as B
@@ -32,13 +39,20 @@ LEAST_SIGNATURE_BITS = 256
 #: How many frequent windows the common order knows. It orders only; results don't depend on it.
 FREQUENT_WINDOWS = 1 << 17
 TILE_ROWS = 2048
+#: Windows of all sets of a tile, which bound its memory: tiles of larger sets take fewer rows.
+TILE_WINDOWS = 4 << 20
+#: Pairs of a tile that are decided in one piece.
+PIECE_PAIRS = 1 << 17
+#: Rows of a window's group beyond which it is dealt out to several tasks.
+HOT_ROWS = 1 << 16
 #: Pairs a row beyond which a tile is left to a later round.
 PAIRS_PER_ROW = 8
 HUB_ROWS = 512
 _SLOT = 22
 
 SET_SCHEMA = "uid long, doc_id long, n long, f1 long, f2 long, sig array<long>, frequent array<long>, times array<long>"
-GROUP_SCHEMA = "token long, uid long, n long, early boolean, center long"
+GROUP_SCHEMA = "token long, uid long, n long, early boolean"
+PIECE_SCHEMA = "tile long, uids array<long>, pairs binary, partial boolean"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -63,18 +77,6 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(U64)
 
 
-def _eligible(group: np.ndarray, n: np.ndarray, early: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (group, n): how many other rows of the group can be the larger, and how many
-    the smaller set of a link with each. The smaller needs the window early in its order."""
-    base = group.astype(np.int64) << 32
-    key = base | n
-    same, after = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
-    larger = np.where(early, np.searchsorted(key, base | (n * den // num), "right") - same - 1, 0)
-    flagged = np.concatenate([[0], np.cumsum(early)])
-    smaller = flagged[after] - flagged[np.searchsorted(key, base | -(-n * num // den), "left")] - early
-    return larger, smaller
-
-
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = np.empty(0, U64), np.empty(0, np.int64)
@@ -106,8 +108,13 @@ def _describe(k: int):
     return run
 
 
-def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank: np.ndarray, n_buckets: int):
-    """Send the first windows of each class's set. ``frequent`` is sorted; ``rank`` its order."""
+def _salted(token: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return mix(token ^ mix(salt.astype(U64) + U64(1)))
+
+
+def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank: np.ndarray, salts: np.ndarray, n_buckets: int):
+    """Send the first windows of each class's set. ``frequent`` is sorted; ``rank`` its order, ``salts``
+    over how many keys a window's rows are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(reps, ["slot"])
@@ -135,14 +142,22 @@ def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank:
                 size.append(2 * n + (np.arange(len(chosen)) <= n - -(-2 * num * n // (num + den))).astype(np.uint32))
             if tokens:
                 t, o, z = np.concatenate(tokens), np.concatenate(owner), np.concatenate(size).astype(np.uint32)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
+                    hot = np.flatnonzero((frequent[at] == t) & (salts[at] > 1))
+                    t[hot] = _salted(t[hot], mix((o[hot] + (block.bid << _SLOT)).astype(U64)) % salts[at[hot]].astype(U64))
                 order = np.argsort(t, kind="stable")
                 yield from B.sent_rows(block.bid, t[order], [(o[order] + (block.bid << _SLOT)), z[order]], n_buckets)
 
     return run
 
 
-def _groups(num: int, den: int):
-    """Rows of windows that several sets have, each with the smallest row of its size band."""
+def _groups(hot: np.ndarray, salts: np.ndarray):
+    """Rows of windows that several sets have. Those of a ``hot`` window come under several keys."""
+    salted = np.concatenate([np.empty(0, U64), *(_salted(np.full(int(n), w), np.arange(int(n))) for w, n in zip(hot, salts, strict=True))])
+    true = np.repeat(hot, salts.astype(np.int64))
+    order = np.argsort(salted)
+    salted, true = salted[order], true[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, uids, sizes = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
@@ -152,36 +167,21 @@ def _groups(num: int, den: int):
                 a, b = batch.column(3)[i].as_py()
                 uids.append(B.from_planes(a, np.int64))
                 sizes.append(B.from_planes(b, np.uint32))
-        key, uid, size = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes).astype(np.int64)
-        n, early = size >> 1, (size & 1).astype(bool)
+        key, uid, size = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes)
         order = np.argsort(key, kind="stable")
+        key = key[order]
         same = np.zeros(len(order) + 1, dtype=bool)
-        same[1:-1] = key[order][1:] == key[order][:-1]
-        order = order[same[:-1] | same[1:]]
-        key, uid, n, early = key[order], uid[order], n[order], early[order]
-        order = np.lexsort((uid, n, key))
-        key, uid, n, early = key[order], uid[order], n[order], early[order]
-        if len(key):
-            larger, smaller = _eligible(np.cumsum(np.append(True, key[1:] != key[:-1])), n, early, num, den)
-            live = (larger > 0) | (smaller > 0)
-            key, uid, n, early = key[live], uid[live], n[live], early[live]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        stop = np.append(head[1:], len(key)) if len(head) else head
-        center = np.empty(len(key), np.int64)
-        while len(head):  # a band of every group in turn
-            c = np.repeat(head, stop - head)
-            rows = np.concatenate([np.empty(0, np.int64), c + (np.arange(len(c)) - np.repeat(np.cumsum(stop - head) - (stop - head), stop - head))]).astype(np.int64)
-            inside = n[rows] * num <= n[c] * den
-            center[rows[inside]] = uid[c[inside]]
-            out = rows[~inside]
-            if not len(out):
-                break
-            first = np.append(True, c[~inside][1:] != c[~inside][:-1])
-            stop = np.append(np.flatnonzero(first)[1:], len(out))
-            head = out[first]
-            stop = out[stop - 1] + 1
+        same[1:-1] = key[1:] == key[:-1]
+        kept = same[:-1] | same[1:]
+        if len(salted):
+            at = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
+            found = salted[at] == key
+            kept |= found
+            key = np.where(found, true[at], key)
+        key, uid, size = key[kept], uid[order[kept]], size[order[kept]].astype(np.int64)
         for i in range(0, len(key), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[i : i + (1 << 17)])), *(pa.array(x[i : i + (1 << 17)]) for x in (uid, n, early, center))], names=["token", "uid", "n", "early", "center"])
+            at = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[at])), pa.array(uid[at]), pa.array(size[at] >> 1), pa.array((size[at] & 1).astype(bool))], names=["token", "uid", "n", "early"])
 
     return run
 
@@ -214,12 +214,12 @@ def _side(df: DataFrame, label: str, parts: int) -> str:
 
 
 def _members(k: int, path: str):
-    """Send the sets that pairs ask for, to the tile of their hub."""
+    """Send the sets that tiles ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Wanted(path, ["slot", "hub", "salt"])
+        wanted = Wanted(path, ["slot", "tile"])
         for block in B.each_block(batches):
-            slot, hub, salt = wanted.of(block.bid)
+            slot, tile = wanted.of(block.bid)
             if not len(slot):
                 continue
             part, place = block.only(slot)
@@ -229,74 +229,72 @@ def _members(k: int, path: str):
             cut = [0, *(np.flatnonzero(np.diff(size)) + 1), len(slot)]
             for start, stop in zip(cut[:-1], cut[1:], strict=True):
                 at = slice(start, stop)
-                yield pa.RecordBatch.from_arrays([pa.array(hub[at]), pa.array(salt[at]), pa.array(uid[at]), pa.array(uid[at] != hub[at]), pa.array([sets[i].tobytes() for i in place[at]], pa.binary())], names=["hub", "salt", "uid", "member", "tokens"])
+                none = pa.nulls(stop - start, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(tile[at]), pa.array(uid[at]), none, pa.array([sets[i].tobytes() for i in place[at]], pa.binary())], names=["tile", "uid", "uids", "data"])
 
     return run
 
 
-def _decide(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, tokens = None, None
-        for batch in batches:
-            u, v = [], []
-            for i, (h, uid, member) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                x = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
-                if not member:
-                    x = x.copy()
-                if not member:
-                    hub, tokens = h, x
-                    continue
-                assert hub == h
-                both = len(np.intersect1d(tokens, x, assume_unique=True))
-                if den * both >= num * (len(tokens) + len(x) - both):
-                    u.append(h)
-                    v.append(uid)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return run
+def _linked(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, num: int, den: int) -> list[int]:
+    """Which of the pairs (u, v) link, but for those that links before them have joined."""
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        x, y = top(a), top(b)
+        if x != y:
+            small, large = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            both = int(np.count_nonzero(large[at] == small))
+            if den * both >= num * (len(small) + len(large) - both):
+                root[y] = x
+                out.append(i)
+    return out
 
 
-def _verify(blocks: DataFrame, pairs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """The pairs (hub, uid) that link, by intersecting their sets."""
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("tiles"))
-    member = pairs.join(hubs, "hub").select("uid", "hub", F.pmod(F.xxhash64("uid"), "tiles").cast("long").alias("salt"))
-    center = hubs.select(F.col("hub").alias("uid"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("salt"))
-    path = _side(member.union(center), "asked", parts)
-    sent = blocks.mapInArrow(_members(k, path), "hub long, salt long, uid long, member boolean, tokens binary")
-    dealt = sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return _scratch.stored(dealt.mapInArrow(_decide(num, den), "u long, v long"), "links")
+def _decide(num: int, den: int):
+    """Links of one tile after another. Rows come sorted by (tile, uid): first the tile's pairs, as places in its
+    uids (no pairs: the first with each other), then its sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, uids, pairs, sets = None, [], b"", {}
 
-def _cross(num: int, den: int):
-    """Rows that have a possible partner of another component in their group."""
+        def finish() -> Iterator[pa.RecordBatch]:
+            if tile is not None:
+                u, v = np.frombuffer(pairs, np.int32).reshape(2, -1) if pairs is not None else (np.zeros(len(uids) - 1, np.int32), np.arange(1, len(uids), dtype=np.int32))
+                found = _linked([sets[x] for x in uids], u, v, num, den)
+                ids = np.array(uids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u[found]]), pa.array(ids[v[found]])], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[] for _ in range(5)]
         for batch in batches:
-            for i in range(5):
-                cols[i].append(batch.column(i).to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        token, uid, n, early, comp = (np.concatenate(c) for c in cols)
-        found = []
-        for keys in ((n, token), (n, comp, token)):  # of the group, and of the same component in it
-            order = np.lexsort(keys)
-            new = np.zeros(len(order), dtype=bool)
-            for x in keys[1:]:
-                new[1:] |= x[order][1:] != x[order][:-1]
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            found.append([x[back] for x in _eligible(np.cumsum(new), n[order], early[order], num, den)])
-        rows = np.flatnonzero((found[0][0] > found[1][0]) | (found[0][1] > found[1][1]))
-        _, group, size = np.unique(token[rows], return_inverse=True, return_counts=True)
-        size = size[group] if len(rows) else rows
-        for i in range(0, len(rows), 1 << 17):
-            at = rows[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (token, uid, n, early, comp)), pa.array(size[i : i + (1 << 17)])], names=["token", "uid", "n", "early", "comp", "size"])
+            for i, (t, uid) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if uid is None:
+                    yield from finish()
+                    tile, uids, pairs, sets = t, batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), {}
+                else:
+                    assert t == tile
+                    sets[uid] = np.frombuffer(batch.column(3)[i].as_buffer(), U64).copy()
+        yield from finish()
 
     return run
 
 
+def _verify(blocks: DataFrame, pieces: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
+    """Links among the pairs of stored pieces of tiles, by intersecting their sets; they join what all links would."""
+    path = _side(pieces.select("tile", F.explode("uids").alias("uid")), "asked", parts)
+    sent = blocks.mapInArrow(_members(k, path), "tile long, uid long, uids array<long>, data binary")
+    heads = pieces.select("tile", F.lit(None).cast("long").alias("uid"), "uids", F.col("pairs").alias("data"))
+    dealt = sent.union(heads).repartition(parts, "tile").sortWithinPartitions("tile", "uid")
+    return _scratch.stored(dealt.mapInArrow(_decide(num, den), "u long, v long"), "links")
+
+
 class _Bitmaps:
     """Bitmaps of rows, by width; a row is there in its own width and in half of it."""
 
@@ -325,77 +323,80 @@ class _Bitmaps:
 
 
 def _tile(num: int, den: int, limit: int | None):
-    """Pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (token, ti, tj).
+    """Pieces of the pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (family, ti, tj).
 
     Of a tile with more than ``limit`` pairs a row every row comes with its most central partner only,
     marked as partial.
     """
 
     def finish(cols: list[np.ndarray], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        token, ti, tj, t, uid, n, early, comp, lengths = cols
+        family, ti, tj, t, uid, n, early, upper, comp, lengths = cols
         bitmaps = _Bitmaps(words, lengths)
-        new = np.append(True, (token[1:] != token[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1]))
-        head = np.flatnonzero(new)
-        pending, waiting, out = [], 0, [np.empty((0, 3), np.int64)]
+        head = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])))
+        small: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-        def decide() -> None:
-            a, b = np.concatenate([x for x, _, _ in pending]), np.concatenate([y for _, y, _ in pending])
-            group = np.concatenate([np.full(len(x), g) for x, _, g in pending])
+        def possible(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            swap = n[a] > n[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            ok = early[a] & ~(upper[a] & upper[b]) & (comp[a] != comp[b]) & (n[b] * num <= n[a] * den)
+            a, b = a[ok], b[ok]
             total = n[a] + n[b]
             most = (total - bitmaps.differ(a, b)) // 2
             fine = den * most >= num * (total - most)
-            a, b, group = a[fine], b[fine], group[fine]
-            found = [np.empty((0, 3), np.int64)]
-            cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(a) else [0]
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                x, y, partial = a[i:j], b[i:j], limit is not None and j - i > limit * sizes[group[i]]
-                if partial:
-                    x, y = central_partners(x, y)
-                u, v = np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])
-                found.append(np.stack([u, v, np.full(len(u), partial)], axis=1))
-            out.append(np.unique(np.concatenate(found), axis=0))
-            pending.clear()
-
-        sizes = {}
-        for s, e in zip(head, np.append(head[1:], len(token)), strict=True):
-            if e - s < 2:
-                continue
-            sizes[s] = e - s
-            if ti[s] == tj[s]:
-                a, b = np.triu_indices(e - s, 1)
+            return a[fine], b[fine], most[fine] / (total - most)[fine]
+
+        def pieces(s: int, a: np.ndarray, b: np.ndarray, close: np.ndarray, rows: int) -> Iterator[tuple]:
+            partial = limit is not None and len(a) > limit * rows
+            if partial:
+                a, b = central_partners(a, b)
             else:
-                left, right = np.flatnonzero(t[s:e] == ti[s]), np.flatnonzero(t[s:e] == tj[s])
-                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-            a, b = a + s, b + s
-            swap = n[a] > n[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            ok = early[a] & (comp[a] != comp[b]) & (n[b] * num <= n[a] * den)
-            pending.append((a[ok], b[ok], s))
-            waiting += len(pending[-1][0])
-            if waiting > 1 << 18:
-                decide()
-                waiting = 0
-        if pending:
-            decide()
-        pairs = np.unique(np.concatenate(out), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["hub", "uid", "partial"])
+                order = np.argsort(-close, kind="stable")
+                a, b = a[order], b[order]
+            for i in range(0, len(a), PIECE_PAIRS):
+                at, place = np.unique(np.concatenate([a[i : i + PIECE_PAIRS], b[i : i + PIECE_PAIRS]]), return_inverse=True)
+                name = int(mix(mix(family[s : s + 1].astype(U64)) + mix(np.array([(int(ti[s]) << 32) + int(tj[s])], U64)) + U64(i))[0] >> U64(1))
+                yield name, uid[at], place.astype(np.int32).tobytes(), partial
+
+        for s, e in zip(head, np.append(head[1:], len(family)), strict=True):
+            left, right = np.arange(s, e)[t[s:e] == ti[s]], np.arange(s, e)[t[s:e] == tj[s]]
+            found = []
+            step = max(1, (1 << 18) // max(1, len(right)))
+            for i in range(0, len(left), step):
+                a, b = np.repeat(left[i : i + step], len(right)), np.tile(right, len(left[i : i + step]))
+                if ti[s] == tj[s]:
+                    a, b = a[a < b], b[a < b]
+                found.append(possible(a, b))
+            if found:
+                a, b, close = (np.concatenate(x) for x in zip(*found, strict=True))
+                small += pieces(s, a, b, close, e - s)
+            if sum(len(x[2]) for x in small) > 4 << 20:
+                yield rows(small)
+                small = []
+        if small:
+            yield rows(small)
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.bool_())],
+            names=["tile", "uids", "pairs", "partial"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], []
 
         def joined() -> tuple[list[np.ndarray], np.ndarray]:
-            return [np.concatenate([p[j] for p in held]) for j in range(9)], np.concatenate(words)
+            return [np.concatenate([p[j] for p in held]) for j in range(10)], np.concatenate(words)
 
         for batch in batches:
-            sig = batch.column(8)
-            held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)), sig.value_lengths().to_numpy().astype(np.int64)])
+            sig = batch.column(9)
+            held.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)), sig.value_lengths().to_numpy().astype(np.int64)])
             words.append(sig.flatten().to_numpy().view(U64))
-            if sum(map(len, words)) >= 1 << 21:
+            if sum(map(len, words)) >= 1 << 20:
                 cols, all_words = joined()
                 last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
                 cut = last[-1] + 1 if len(last) else 0
                 if cut:
-                    at = cols[8][:cut].sum()
+                    at = cols[9][:cut].sum()
                     yield from finish([x[:cut] for x in cols], all_words[:at])
                     held, words = [[x[cut:] for x in cols]], [all_words[at:]]
         if held:
@@ -404,6 +405,36 @@ def _tile(num: int, den: int, limit: int | None):
     return run
 
 
+def _families(labelled: DataFrame) -> DataFrame:
+    """Rows (family, uid, n, early, upper, comp, label, labels) of groups with several components.
+
+    ``upper``: of the second of the family's two bands. Rows meet in tiles by their labels; those of
+    the largest component have the highest and don't meet each other.
+    """
+    h1, h2 = F.xxhash64(F.lit(1), "uid"), F.xxhash64("uid", F.lit(2))
+    stats = labelled.groupBy("token", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("z"), F.min(h1).alias("h1"), F.min(h2).alias("h2"))
+    bands = Window.partitionBy("token").orderBy("band")  # some tens at most
+    following = F.lead(F.struct("band", "a", "z", "h1", "h2")).over(bands)
+    stats = stats.withColumn("x", F.when(following["band"] == F.col("band") + 1, following))
+    mixed = F.least("a", "x.a") < F.greatest("z", "x.z")
+    name = F.xxhash64("band", F.least("h1", "x.h1"), F.least("h2", "x.h2")).alias("family")
+    keys = stats.where(mixed).select("token", "band", name, F.col("x").isNotNull().alias("two"))
+    sides = F.array(F.struct("band", F.lit(False).alias("upper")), F.when(F.col("two"), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("upper"))))
+    keys = keys.select("token", "family", F.explode(F.array_compact(sides)).alias("y")).select("token", "family", "y.*")
+    rows = labelled.join(keys, ["token", "band"]).groupBy("family", "uid").agg(F.min("n").alias("n"), F.max("early").alias("early"), F.min("upper").alias("upper"), F.min("comp").alias("comp"))
+    rows = _scratch.stored(rows, "rows")
+    parts = rows.groupBy("family", "comp").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    parts = parts.groupBy("family").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("rows"), F.max("n").alias("n"))
+    tile = F.greatest(F.lit(1), F.least(F.lit(TILE_ROWS), F.floor(TILE_WINDOWS / F.col("n"))))
+    alone = F.col("rows") > tile
+    others = F.ceil((F.col("rows") - F.col("top.c")) / tile)
+    parts = parts.select("family", F.when(alone, F.col("top.comp")).alias("main"), F.when(alone, others).otherwise(F.lit(1)).cast("long").alias("others"), F.when(alone, F.ceil(F.col("top.c") / tile)).otherwise(F.lit(0)).cast("long").alias("mains"))
+    first = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    dealt = F.abs(F.xxhash64("uid") % F.when(first, F.col("mains")).otherwise(F.col("others"))) + F.when(first, F.col("others")).otherwise(F.lit(0))
+    met = F.when(first, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    return rows.join(parts, "family").select("family", "uid", "n", "early", "upper", "comp", dealt.alias("label"), met.alias("labels"))
+
+
 class Join(NamedTuple):
     sets: DataFrame
     links: DataFrame
@@ -432,15 +463,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = np.argsort(token)
     rank = len(token) - 1 - order
     frequent = token[order]
+    salts = -(-often.column("times").to_numpy()[order] // HOT_ROWS)
+    hot = salts > 1
     sets = described.where("uid is not null")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"))
     reps = _side(classes.select("uid"), "reps", parts)
-    sent = blocks.mapInArrow(_prefixes(k, num, den, reps, frequent, rank, parts), B.SENT_SCHEMA)
-    groups = _scratch.stored(sent.repartition(parts, "bucket").mapInArrow(_groups(num, den), GROUP_SCHEMA), "groups")
+    sent = blocks.mapInArrow(_prefixes(k, num, den, reps, frequent, rank, salts, parts), B.SENT_SCHEMA)
+    groups = sent.repartition(parts, "bucket").mapInArrow(_groups(frequent[hot], salts[hot]), GROUP_SCHEMA)
+    # sizes of a link differ by den / num at most, so they lie in one band or in two neighbouring ones
+    band = F.floor(F.log("n") / max(math.log(den / num) * (1 + 1e-9), 1e-6)).cast("long")
+    groups = _scratch.stored(groups.withColumn("band", band), "groups")
 
     # first round: the smallest row of each band with the others of it
     sig = sets.select("uid", "sig", F.col("n").alias("size"))
-    pairs = groups.where("center <> uid").select(F.col("center").alias("hub"), "uid").distinct()
+    heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("token", "band", F.col("first.uid").alias("hub"))
+    pairs = groups.join(heads, ["token", "band"]).where("hub <> uid").select("hub", "uid").distinct()
     pairs = pairs.join(sig, "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
     width = F.least(F.size("sig"), F.size("hub_sig"))
 
@@ -450,23 +487,26 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     differ = F.aggregate(F.zip_with(folded("sig"), folded("hub_sig"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     most = F.floor((F.col("size") + F.col("hub_size") - differ) / 2)
-    pairs = pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid")
-    links = _verify(blocks, _scratch.stored(pairs, "pairs"), k, num, den, parts)
+    pairs = _scratch.stored(pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid", "size"), "pairs")
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / HUB_ROWS, F.sum("size") / TILE_WINDOWS)).alias("tiles"))
+    salt = F.abs(F.xxhash64("uid") % F.col("tiles"))
+    pieces = pairs.join(hubs, "hub").groupBy("hub", salt.alias("salt")).agg(F.collect_list("uid").alias("uids"))
+    pieces = pieces.select(F.shiftrightunsigned(F.xxhash64("hub", "salt"), 1).alias("tile"), F.concat(F.array("hub"), "uids").alias("uids"), F.lit(None).cast("binary").alias("pairs"))
+    links = _verify(blocks, _scratch.stored(pieces, "pieces"), k, num, den, parts)
 
     # further rounds: rows of different components, until all of their pairs are decided
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
         comps = _scratch.stored(components(links), "components")
-        labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
-        crossing = labelled.repartition(parts, "token").mapInArrow(_cross(num, den), "token long, uid long, n long, early boolean, comp long, size long")
-        tiles = F.ceil(F.col("size") / TILE_ROWS).cast("long")
-        crossing = crossing.withColumns({"tiles": tiles, "t": F.pmod(F.xxhash64("uid"), tiles)})
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o")
-        placed = crossing.select("*", other).select("token", F.least("t", "o").alias("ti"), F.greatest("t", "o").alias("tj"), "t", "uid", "n", "early", "comp").join(sig.drop("size"), "uid")
-        placed = placed.select("token", "ti", "tj", "t", "uid", "n", "early", "comp", "sig").repartition(parts, "token", "ti", "tj").sortWithinPartitions("token", "ti", "tj")
-        pairs = placed.mapInArrow(_tile(num, den, limit), "hub long, uid long, partial boolean").groupBy("hub", "uid").agg(F.max("partial").alias("partial"))
-        pairs = _scratch.stored(pairs, "pairs")
-        links = links.union(_verify(blocks, pairs.select("hub", "uid"), k, num, den, parts))
-        if pairs.where("partial").isEmpty():
+        labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "band", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
+        placed = _families(labelled).join(sig.drop("size"), "uid")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("labels") - 1)).alias("o")
+        placed = placed.select("*", other).select("family", F.least("label", "o").alias("ti"), F.greatest("label", "o").alias("tj"), F.col("label").alias("t"), "uid", "n", "early", "upper", "comp", "sig")
+        placed = placed.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj")
+        pieces = _scratch.stored(placed.mapInArrow(_tile(num, den, limit), PIECE_SCHEMA), "pieces")
+        if pieces.isEmpty():
+            break
+        links = links.union(_verify(blocks, pieces, k, num, den, parts))
+        if pieces.where("partial").isEmpty():
             break
     return Join(sets.drop("sig", "frequent", "times"), links, blocks)
 

@@ -107,10 +107,31 @@ def test_jaccard(spark):
     assert jaccard.near_duplicates(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("k", [3, 5])
+def test_jaccard_windows(spark, monkeypatch, k):
+    """Families of near copies of many lengths about the threshold, at the query's k too; hot windows come under several keys."""
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    rng = random.Random(k)
+    words = [f"v{i}" for i in range(3000)]
+    rows = []
+    for f in range(14):
+        base = [rng.choice(words) for _ in range(rng.choice([5, 8, 30, 60, 100, 101, 126, 160]))]
+        for _ in range(rng.choice([2, 6, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randint(0, len(w) // 9)]), "s"))
+    want = jaccard_brute(rows, k, 80, 100)
+    assert 20 < len({r[2] for r in want}) < len(rows) - 20
+    same(jaccard.near_duplicates(frame(spark, rows), k=k).collect(), want)
+
+
 @pytest.mark.parametrize("limit", [0, 8])
 def test_jaccard_chains_and_tiles(spark, monkeypatch, limit):
     """Many copies, each linked to some only, in tiles of a few rows."""
     monkeypatch.setattr(jaccard, "TILE_ROWS", 8)
+    monkeypatch.setattr(jaccard, "PIECE_PAIRS", 16)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
     monkeypatch.setattr(jaccard, "HUB_ROWS", 4)
     monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", limit)
     rng = random.Random(5)
