@@ -92,17 +92,19 @@ c AS (
   SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (SELECT count(*) - count(DISTINCT l) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]'))::BIGINT AS n_dup_lines,
+    (SELECT count(*) FROM (SELECT unnest(string_split(text, chr(10))) AS l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]'))::BIGINT AS n_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats FROM c),
+e AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repeats, n_symbols > 0.1 * n_words AS symbols, n_dup_lines > 0.5 * n_lines AS lines, word_chars < 3 * n_words OR word_chars > 10 * n_words AS letters FROM c),
+f AS (SELECT *, short OR repeats OR symbols OR lines OR letters AS fails FROM e),
 h AS (
   SELECT source, r, count(*) AS n, sum(x::INT) AS f
-  FROM (SELECT source, unnest(['short', 'repeats', 'any']) AS r, unnest([short, repeats, short OR repeats]) AS x FROM f) GROUP BY ALL),
+  FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'lines', 'letters', 'any']) AS r, unnest([short, repeats, symbols, lines, letters, fails]) AS x FROM f) GROUP BY ALL),
 m AS (SELECT r, sum(f) / sum(n) AS p, sum(f * f / n) / sum(n) - power(sum(f) / sum(n), 2) - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS v FROM h GROUP BY r),
-s AS (SELECT r, p, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(1, p * (1 - p) / v - 1)) END AS s FROM m),
-bad AS (SELECT DISTINCT source FROM h JOIN s USING (r) WHERE (f + p * s + 1e-9) / (n + s + 2e-9) > 0.8)
+s AS (SELECT r, p, CASE WHEN v <= 0 THEN 1e6 ELSE least(1e6, greatest(10, p * (1 - p) / v - 1)) END AS s FROM m),
+bad AS (SELECT DISTINCT source FROM h JOIN s USING (r) WHERE (f + p * s + 1e-9) / (n + s + 2e-9) > greatest(0.5, least(0.75, p + 3 * sqrt(p * (1 - p) / (s + 1)))))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-  NOT (short OR repeats) AND source NOT IN (SELECT source FROM bad WHERE source IS NOT NULL) AS kept
+  NOT fails AND coalesce(source NOT IN (SELECT source FROM bad WHERE source IS NOT NULL), NOT EXISTS (SELECT 1 FROM bad WHERE source IS NULL)) AS kept
 FROM f
 """
 

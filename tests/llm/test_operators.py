@@ -322,14 +322,16 @@ def zlib_gzip(data):
     return out.compress(data) + out.flush()
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("special", [True, False])
+def test_packing(spark, special):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    rows = [*ROWS, (950, "word and <|endoftext|> " * 900, "s"), (951, "a" * 3000, "s")]
-    pieces = packing.pack_documents(frame(spark, rows), capacity=1024).collect()
+    rows = [*ROWS, (950, "word and <|endoftext|> " * 900, "s"), (951, "a" * 3000, "s"), (952, " " * 1_000_000, "s"), (953, "b" * 1_000_000, "s"), (954, "x" + "\n" * 20_000 + " <|endoftext|>y", "s")]
+    pieces = packing.pack_documents(frame(spark, rows), **({} if special else {"special": False})).collect()
     reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
+    if not special:
+        reference.encode_special_tokens = True
     want = Counter((r[0], tuple([*reference.encode(r[1] or "", add_special_tokens=False).ids, 0])) for r in rows)
     docs, sequences = defaultdict(dict), defaultdict(list)
     for p in pieces:
@@ -350,6 +352,23 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
 
 
+def test_packing_ids_are_those_of_the_tokenizers_file():
+    """Every code point in several surroundings, and random strings of odd pieces."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    encode, plain = packing.encoder("byte_bpe_50k", True), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for i in range(0, len(points), 64):
+        text = "".join(f"a{c}a 1{c}1 {c} !{c}! " for c in points[i : i + 64])
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+    rng = random.Random(1)
+    odd = ["'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2028", "<|endoftext|>", "<|endoftext", "é", "e\u0301", "日本", "😀", "١٢", "½", "word", "Word", "_", "$$", "\x00", "\ufffd"]
+    for _ in range(4000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 30)))
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 101, 500)
@@ -411,18 +430,35 @@ def test_url_rules(spark):
 
 
 def test_host_rules(spark):
-    rows = [(i, t, s) for i, t, s in ROWS] + [(2000 + i, "too short", "bad") for i in range(60)] + [(3000, " ".join(f"fine{i}" for i in range(80)), "bad"), (3001, "same word here " * 40 + "\nx\nx\n# $\n", "ok")]
+    fine = lambda i: " ".join(f"fine{(i * 7 + j) % 1000}" for j in range(80))
+    rows = [*ROWS, *((2000 + i, "too short", "bad") for i in range(60)), (3000, fine(0), "bad"), (3001, "same word here " * 40 + "\nx\nx\n# $\n", "ok")]
+    rows += [(4000 + i, fine(i), f"good{i % 9}") for i in range(300)] + [(5000, fine(1) + " $" * 9, "good1"), (5001, fine(2) + " $" * 8, "good1"), (5002, "\n".join([fine(3), "a b", "a b", "a b", "a b"]), "good2")]
+    rows += [(5003, " ".join(f"{i:012d}" for i in range(60)), "good3"), (5004, " ".join(chr(97 + i % 26) + str(i % 9) for i in range(300)), "good3")]
     got = host_rules.judge(frame(spark, rows)).collect()
-    want = []
+    want, fails = [], defaultdict(lambda: defaultdict(list))
     for i, t, s in rows:
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = Counter(zip(w, w[1:], w[2:], strict=False))
         hit = {j + o for j in range(len(w) - 2) if grams[(w[j], w[j + 1], w[j + 2])] > 1 for o in range(3)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
-        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), failed, not failed and s != "bad"))
-    same(got, want)
+        n, chars, symbols, dup = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
+        rules = {"short": n < 50, "repeats": 100 * len(hit) > 50 * n, "symbols": symbols > 0.1 * n, "lines": dup > 0.5 * len(lines), "letters": chars < 3 * n or chars > 10 * n}
+        rules["any"] = any(rules.values())
+        for r, x in rules.items():
+            fails[r][s].append(x)
+        want.append((i, n, chars, symbols, dup, len(hit), rules["short"] or rules["repeats"], rules["any"], s))
+    bad = set()
+    for hosts in fails.values():
+        total = sum(map(len, hosts.values()))
+        mean = sum(map(sum, hosts.values())) / total
+        spread = sum(sum(x) ** 2 / len(x) for x in hosts.values()) / total - mean**2 - mean * (1 - mean) * len(hosts) / total
+        strength = 1e6 if spread <= 0 else min(1e6, max(10, mean * (1 - mean) / spread - 1))
+        most = max(0.5, min(0.75, mean + 3 * math.sqrt(mean * (1 - mean) / (strength + 1))))
+        bad |= {h for h, x in hosts.items() if (sum(x) + mean * strength) / (len(x) + strength) > most}
+    assert bad == {"bad"}
+    same(got, [(*x[:7], not x[7] and x[8] not in bad) for x in want])
+    assert {r.doc_id: r.kept for r in got if r.doc_id and r.doc_id >= 3000 and not 4000 <= r.doc_id < 5000} == {3000: False, 3001: False, 5000: False, 5001: True, 5002: False, 5003: False, 5004: False}
     assert host_rules.judge(frame(spark, [])).collect() == []
 
 
