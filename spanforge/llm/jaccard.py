@@ -439,19 +439,22 @@ class Join(NamedTuple):
     sets: DataFrame
     links: DataFrame
     blocks: DataFrame
+    parts: int
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> Join:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, carry: list[str] | None = None) -> Join:
     """Sets of ``k``-word windows per document, and links that span all components of sets with
     ``den * |intersection| >= num * |union|``.
 
     ``sets``: (uid, doc_id, n, f1, f2), one row per document; (n, f1, f2) names its class of equal sets.
     ``links``: pairs (u, v) of representatives' uids.
+    ``blocks``: the documents as they were read, with a struct of the columns in ``carry``.
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Null, empty and blank
     texts have an empty set and no link. Null ids stay null. Repeated rows are equal sets.
     """
     spark = docs.sparkSession
-    blocks, n_bytes = B.block_table(docs, id_col, text_col)
+    whole, n_bytes = B.block_table(docs, id_col, text_col, carry=carry)
+    blocks = whole.select("bid", "doc_id", "flag", "lens", "data")
     parts = _scratch.partitions_for(spark, n_bytes)
     described = _scratch.stored(blocks.mapInArrow(_describe(k), SET_SCHEMA), "sets")
     often = (
@@ -508,7 +511,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = links.union(_verify(blocks, pieces, k, num, den, parts))
         if pieces.where("partial").isEmpty():
             break
-    return Join(sets.drop("sig", "frequent", "times"), links, blocks)
+    return Join(sets.drop("sig", "frequent", "times"), links, whole, parts)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -516,11 +519,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach. A document with an empty set is its own component. Null ids are passed over in the
     smallest id; a component of null ids only has a null component_id."""
     found = similar_sets(docs, id_col, text_col, k, num, den)
-    comps = components(found.links)
-    classes = found.sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
-    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "f1", "f2", "least", F.coalesce("component", "rep").alias("comp"))
-    classes = _scratch.stored(classes, "classes")
+    classes = _classes(found)
     named = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = classes.join(named, "comp").select("n", "f1", "f2", "component_id")
     out = found.sets.join(classes, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(found: Join) -> DataFrame:
+    """The component of each class of equal sets, with the class's smallest id."""
+    comps = components(found.links)
+    classes = found.sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"))
+    classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "f1", "f2", "least", F.coalesce("component", "rep").alias("comp"))
+    return _scratch.stored(classes, "classes")
+
+
+def _without(path: str, spread: bool):
+    """Rows of a block but for those that are to go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = Wanted(path, ["slot"])
+        for block in B.each_block(batches):
+            kept = np.setdiff1d(np.arange(len(block.lens)), gone.of(block.bid)[0])
+            offsets = np.cumsum(block.lens + 1) - block.lens - 1
+            texts = [block.data[offsets[d] : offsets[d] + block.lens[d]].tobytes() for d in kept]
+            columns = [block.doc_id.cast(pa.int64()).take(pa.array(kept)), pa.array(texts, pa.binary()).view(pa.string())]
+            names = ["doc_id", "text"]
+            if spread:
+                columns.append(block.carry.take(pa.array(kept)))
+                names.append("carry")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` as (doc_id, text) and a struct ``carry``, with one row of each group that links join: that of the
+    smallest id, null last; among rows of one id the one that the blocks hold first.
+
+    Rows with an empty set all stay, a null text as an empty one. An empty table stays empty.
+    """
+    found = similar_sets(docs, id_col, text_col, k, num, den, carry)
+    rows = found.sets.join(_classes(found).drop("least"), ["n", "f1", "f2"]).select("uid", "doc_id", "comp")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")).alias("first"))
+    path = _side(rows.join(first, "comp").where("uid <> first.uid").select("uid"), "gone", found.parts)
+    schema = "doc_id long, text string"
+    if carry:
+        schema += ", carry " + found.blocks.schema["carry"].dataType.elementType.simpleString()
+    return found.blocks.mapInArrow(_without(path, bool(carry)), schema)
