@@ -89,6 +89,19 @@ def mismatch_graph(words: DataFrame, word: str, alphabet: str = "ACGT") -> DataF
     return near.join(w.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
 
 
+def near_pairs(df: DataFrame, group: list[str], key: str, word: str) -> DataFrame:
+    """Pairs of a group, each once, whose words are of one length and differ in one place at most: structs ``a``
+    and ``b`` with a's key the smaller. Rows meet under their words with one place left out; equal words only meet
+    at the first."""
+    rows = df.select(*group, F.struct(*[c for c in df.columns if c not in group]).alias("a"), F.col(word).alias("_w"))
+    n = F.length("_w")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))))
+    rows = rows.withColumns({"_n": n, "_rest": F.concat(F.substr("_w", F.lit(1), F.col("_i") - 1), F.substr("_w", F.col("_i") + 1, n))})
+    other = rows.withColumnsRenamed({"a": "b", "_w": "_v"})
+    met = rows.join(other, [*group, "_i", "_n", "_rest"]).where((F.col(f"a.{key}") < F.col(f"b.{key}")) & ((F.col("_w") != F.col("_v")) | (F.col("_i") == 1)))
+    return met.select(*group, "a", "b")
+
+
 def permutations(items: list) -> list[tuple]:
     return list(_permutations(items))
 

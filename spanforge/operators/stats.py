@@ -24,8 +24,10 @@ def benjamini_hochberg(df: DataFrame, p: str, order: list[str], out: str = "q")
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """Per distinct score, from high to low: true and false positives when it is the cutoff."""
     steps = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n")).withColumn("f", F.col("n") - F.col("p"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(score, F.sum("p").over(w).alias("tp"), F.sum("f").over(w).alias("fp"))
+    ranked = tracks.numbered(steps, [F.desc(score)], None, "_row").withColumn("_all", F.lit(1))
+    for count, out in (("p", "tp"), ("f", "fp")):
+        ranked = scan.running(ranked, ["_all"], "_row", [], F.col(count), out)
+    return ranked.select(score, "tp", "fp")
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -89,8 +91,10 @@ def collapse_umis(df: DataFrame, keys: list[str], umi: str, correct: bool = Fals
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         left = dict(sorted(zip(pdf[umi], pdf["n"], strict=True)))
+        letters = sorted({c for u in left for c in u})
         for u in sorted(left, key=lambda u: (left[u], u)):
-            near = [v for v in left if v != u and len(v) == len(u) and sum(a != b for a, b in zip(u, v, strict=True)) == 1 and left[v] >= 2 * left[u] - 1]
+            beside = (u[:i] + c + u[i + 1 :] for i, old in enumerate(u) for c in letters if c != old)
+            near = [v for v in beside if left.get(v, 0) >= 2 * left[u] - 1 and v in left]
             if near:
                 v = max(near, key=lambda v: (left[v], v))
                 left[v] += left.pop(u)
@@ -100,21 +104,27 @@ def collapse_umis(df: DataFrame, keys: list[str], umi: str, correct: bool = Fals
     return counts.groupBy(*keys).applyInPandas(merge, schema)
 
 
-def _log_factorials(n: int) -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+_LOG_FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1 << 12)))])
 
 
-def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -> DataFrame:
-    """Two-tailed p of 2x2 tables, from hypergeometric terms."""
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """From a table, and by Stirling's series beyond it."""
+    x = np.maximum(k, 1).astype(np.float64)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(k < len(_LOG_FACTORIALS), _LOG_FACTORIALS[np.minimum(k, len(_LOG_FACTORIALS) - 1)], series)
+
+
+def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p", tail: str = "two") -> DataFrame:
+    """p of 2x2 tables from hypergeometric terms: ``left`` (a as small or smaller), ``right`` or ``two`` tailed."""
 
     def p_value(w: int, x: int, y: int, z: int) -> float:
-        n = w + x + y + z
-        lf = _log_factorials(n)
-        base = lf[w + x] + lf[y + z] + lf[w + y] + lf[x + z] - lf[n]
-        k = np.arange(max(0, w - z), min(w + x, w + y) + 1)
-        terms = np.exp(base - lf[k] - lf[w + x - k] - lf[w + y - k] - lf[z - w + k])
-        own = terms[w - max(0, w - z)]
-        return float(min(1.0, terms[terms <= own * (1 + 1e-7)].sum()))
+        low = max(0, w - z)
+        k = np.arange(low, min(w + x, w + y) + 1)
+        base = _log_factorial(np.array([w + x, y + z, w + y, x + z])).sum() - _log_factorial(np.array([w + x + y + z]))[0]
+        terms = np.exp(base - _log_factorial(k) - _log_factorial(w + x - k) - _log_factorial(w + y - k) - _log_factorial(z - w + k))
+        own = terms[w - low]
+        chosen = {"left": k <= w, "right": k >= w, "two": terms <= own * (1 + 1e-7)}[tail]
+        return float(min(1.0, terms[chosen].sum()))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -123,6 +133,18 @@ def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p")
     return df.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {out} double")
 
 
+def normal_two_sided(z: Column) -> Column:
+    """P(|Z| >= |z|), by a rational approximation of the complementary error function (relative error below 1.2e-7)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    # Chebyshev coefficients of the approximation, from the highest power down.
+    powers = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+    series = F.lit(0.0)
+    for c in powers:
+        series = series * t + c
+    return t * F.exp(series - x * x)
+
+
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """U of the rows whose group is true, and a two-sided p by normal approximation with ties."""
     tied = df.groupBy(*keys, value).agg(F.count("*").alias("_t"), F.sum(F.col(group).cast("bigint")).alias("_g"))
@@ -132,7 +154,8 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str) -> Data
     m, n = F.col("_m"), F.col("_n") - F.col("_m")
     u = F.col("_w") - m * (m + 1) / 2
     sigma = F.sqrt(m * n / 12 * (F.col("_n") + 1 - F.col("_ties") / (F.col("_n") * (F.col("_n") - 1))))
-    return s.select(*keys, u.alias("u"), ((u - m * n / 2) / sigma).alias("z"))
+    z = (u - m * n / 2) / sigma
+    return s.select(*keys, u.alias("u"), z.alias("z"), normal_two_sided(z).alias("p"))
 
 
 def one_way_anova(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -25,12 +25,17 @@ def coverage(df: DataFrame, value: Column, parts: str = "parts") -> DataFrame:
     Neighbouring runs of equal depth stay apart where an interval starts or ends between them only if the
     depth changes there.
     """
-    each = df.select(*KEYS, value.alias("v"), F.explode(parts).alias("p"))
-    steps = each.select(*KEYS, F.col("p.s").alias("pos"), "v").unionByName(each.select(*KEYS, F.col("p.e").alias("pos"), (-F.col("v")).alias("v")))
-    steps = steps.groupBy(*KEYS, "pos").agg(F.sum("v").alias("v")).where("v <> 0")
-    depth = scan.running(steps, KEYS, "pos", [], F.col("v"), "depth")
-    ends = scan.next_row(depth, KEYS, "pos", "pos", "e")
-    return ends.where("depth <> 0 and e is not null").select(*KEYS, F.col("pos").alias("s"), "e", "depth")
+    p = F.explode(F.flatten(F.transform(parts, lambda x: F.array(F.struct(x["s"].alias("pos"), F.lit(1).alias("sign")), F.struct(x["e"].alias("pos"), F.lit(-1).alias("sign"))))))
+    each = df.select(*KEYS, value.alias("v"), p.alias("p")).select(*KEYS, F.col("p.pos").alias("pos"), (F.col("v") * F.col("p.sign")).alias("v"))
+    steps = each.groupBy(*KEYS, F.floor(F.col("pos") / scan.BUCKET).alias("_b"), "pos").agg(F.sum("v").alias("v")).where("v <> 0").repartition(*KEYS, "_b")
+    # depth and the next step inside a bucket; a row per bucket carries the depth in and the first step after
+    own = Window.partitionBy(*KEYS, "_b").orderBy("pos")
+    inside = steps.withColumns({"_d": F.sum("v").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_e": F.lead("pos").over(own)})
+    border = Window.partitionBy(*KEYS).orderBy("_b")
+    borders = steps.groupBy(*KEYS, "_b").agg(F.sum("v").alias("_t"), F.min("pos").alias("_f"))
+    borders = borders.select(*KEYS, "_b", F.coalesce(F.sum("_t").over(border.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c"), F.lead("_f").over(border).alias("_n"))
+    runs = inside.join(borders, [*KEYS, "_b"]).select(*KEYS, F.col("pos").alias("s"), F.coalesce("_e", "_n").alias("e"), (F.col("_d") + F.col("_c")).alias("depth"))
+    return runs.where("depth <> 0 and e is not null")
 
 
 def junctions(df: DataFrame, value: Column, parts: str = "parts") -> DataFrame:
@@ -109,13 +114,18 @@ def rolling(df: DataFrame, keys: list[str], order: list[Column | str], before: i
 def rolling_equisize(df: DataFrame, keys: list[str], covariate: str, value: str, half: int, step: int) -> DataFrame:
     """Statistics of windows of 2*half+1 rows around every ``step``-th row by covariate, with all ties
     at both borders included. Per window: the middle's covariate, its rows and their mean."""
-    w = Window.partitionBy(*keys).orderBy(covariate)
-    rows = df.withColumns({"_rn": F.row_number().over(w.orderBy(covariate, value)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    rows = df.withColumns({"_rn": F.row_number().over(Window.partitionBy(*keys).orderBy(covariate, value)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
     middle = rows.where(f"_rn % {step} = 0").select(*keys, F.col("_rn").alias("mid"), F.col(covariate).alias("at"), F.greatest(F.col("_rn") - half, F.lit(0)).alias("lo"), F.least(F.col("_rn") + half, F.col("_n") - 1).alias("hi"))
-    edges = rows.select(*keys, "_rn", F.col(covariate).alias("c"))
-    lo = middle.join(edges.withColumnsRenamed({"_rn": "lo", "c": "c_lo"}), [*keys, "lo"]).join(edges.withColumnsRenamed({"_rn": "hi", "c": "c_hi"}), [*keys, "hi"])
-    hit = lo.join(rows.select(*keys, F.col(covariate).alias("x"), F.col(value).alias("y")), keys).where("x >= c_lo and x <= c_hi")
-    return hit.groupBy(*keys, "mid", "at").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    # rows and sums up to and before each covariate, so that a window is a difference
+    ties = df.groupBy(*keys, covariate).agg(F.count("*").alias("c"), F.sum(value).alias("t"))
+    upto = Window.partitionBy(*keys).orderBy(covariate).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ties.withColumns({"_c": F.sum("c").over(upto), "_t": F.sum("t").over(upto)})
+    at = rows.select(*keys, "_rn", covariate).join(sums, [*keys, covariate])
+    low = at.select(*keys, F.col("_rn").alias("lo"), (F.col("_c") - F.col("c")).alias("c0"), (F.col("_t") - F.col("t")).alias("t0"))
+    high = at.select(*keys, F.col("_rn").alias("hi"), F.col("_c").alias("c1"), F.col("_t").alias("t1"))
+    found = middle.join(low, [*keys, "lo"]).join(high, [*keys, "hi"])
+    n = F.col("c1") - F.col("c0")
+    return found.select(*keys, "mid", "at", n.alias("n"), ((F.col("t1") - F.col("t0")) / n).alias("mean"))
 
 
 def rolling_covariate(df: DataFrame, keys: list[str], covariate: str, value: str, width: float, overlap: float) -> DataFrame:

@@ -5,16 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below the session's ``spark.checkpoint.dir`` and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the session's ``spark.checkpoint.dir``. Where none is set, one of this
+    machine does for a local session only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spanforge-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/spanforge-{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/spanforge-{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again."""
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

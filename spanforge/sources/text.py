@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,7 +189,11 @@ def read_csv(spark: SparkSession, path: str, sniffed: int = 1000) -> DataFrame:
 def read_csv_lines(spark: SparkSession, lines: DataFrame, first: list[str]) -> DataFrame:
     """Like read_csv, of a frame of lines whose first ones are given."""
     sep, header, schema = _schema(first)
-    rows = lines.where(F.col("value") != first[0]) if header else lines
+    rows = lines
+    if header:  # the header is one line; lines equal to it further on are data
+        same = lines.where(F.col("value") == first[0]).withColumn("_id", F.monotonically_increasing_id())
+        again = same.withColumn("_n", F.row_number().over(Window.partitionBy("value").orderBy("_id"))).where("_n > 1")
+        rows = lines.select("value").where(~F.col("value").eqNullSafe(first[0])).union(again.select("value"))
     return rows.select(F.from_csv("value", F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), {"sep": sep}).alias("r")).select("r.*")
 
 
