@@ -21,7 +21,7 @@ components. Later rounds decide the pairs between components:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +48,8 @@ HOT_ROWS = 1 << 16
 #: Pairs a row beyond which a tile is left to a later round.
 PAIRS_PER_ROW = 8
 HUB_ROWS = 512
+#: Rows of a group up to which groups of one size are looked at together.
+SMALL_GROUP = 12
 _SLOT = 22
 
 SET_SCHEMA = "uid long, doc_id long, n long, f1 long, f2 long, sig array<long>, frequent array<long>, times array<long>"
@@ -55,6 +57,31 @@ GROUP_SCHEMA = "token long, uid long, n long, early boolean"
 PIECE_SCHEMA = "tile long, uids array<long>, pairs binary, partial boolean"
 
 
+class Rule(NamedTuple):
+    """When two rows of sizes n <= m link: ``num / den`` bounds n / m from below; ``possible(n, m, differ)`` tells for
+    arrays or columns whether bitmaps that differ in so many bits allow a link; ``linked`` decides on the data of two rows."""
+
+    num: int
+    den: int
+    possible: Callable
+    linked: Callable[[np.ndarray, np.ndarray], bool]
+
+
+def jaccard_rule(num: int, den: int) -> Rule:
+    def possible(n, m, differ):
+        # the overlap is (n + m - symmetric difference) / 2 and the bits differ in no more than that difference
+        return (den + num) * (n + m - differ) >= 2 * num * (n + m)
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        small, large = (a, b) if len(a) <= len(b) else (b, a)
+        at = np.searchsorted(large, small)
+        at[at == len(large)] = 0
+        both = int(np.count_nonzero(large[at] == small))
+        return den * both >= num * (len(small) + len(large) - both)
+
+    return Rule(num, den, possible, linked)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U64).view(np.int64)
 
@@ -152,27 +179,60 @@ def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank:
     return run
 
 
-def _groups(hot: np.ndarray, salts: np.ndarray):
-    """Rows of windows that several sets have. Those of a ``hot`` window come under several keys."""
+def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule) -> np.ndarray:
+    """For rows sorted by group, whether sizes and one word of bitmap allow a link with another row of it;
+    true for all rows of groups of more than TILE_ROWS."""
+    alive = np.zeros(len(group), dtype=bool)
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(group)))
+    alive[np.repeat(size > TILE_ROWS, size)] = True
+
+    def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        return (large * rule.num <= small * rule.den) & rule.possible(small, large, np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64))
+
+    for s in range(2, SMALL_GROUP + 1):  # all groups of one size at a time
+        first = head[size == s]
+        for i in range(s if len(first) else 0):
+            for j in range(i + 1, s):
+                ok = possible(first + i, first + j)
+                alive[first[ok] + i] = alive[first[ok] + j] = True
+    for start, s in zip(head[large := (size > SMALL_GROUP) & (size <= TILE_ROWS)].tolist(), size[large].tolist(), strict=True):
+        step = max(1, (1 << 18) // s)
+        for i in range(0, s, step):
+            a, b = np.arange(start + i, min(start + s, start + i + step))[:, None], np.arange(start, start + s)[None, :]
+            ok = possible(a, b)
+            ok[a == b] = False
+            alive[a[:, 0]] |= ok.any(axis=1)
+    return alive
+
+
+def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None):
+    """Rows of windows that several sets have. Those of a ``hot`` window come under several keys. Where a
+    word of bitmap comes with the rows, those that have no possible partner by ``rule`` in a group of a tile's size go."""
     salted = np.concatenate([np.empty(0, U64), *(_salted(np.full(int(n), w), np.arange(int(n))) for w, n in zip(hot, salts, strict=True))])
     true = np.repeat(hot, salts.astype(np.int64))
     order = np.argsort(salted)
     salted, true = salted[order], true[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, uids, sizes = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        keys, uids, sizes, words = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, U64)]
         for batch in batches:
             for i in range(batch.num_rows):
                 keys.append(B.unpack_keys(batch.column(2)[i].as_py()))
-                a, b = batch.column(3)[i].as_py()
+                a, b, *bits = batch.column(3)[i].as_py()
                 uids.append(B.from_planes(a, np.int64))
                 sizes.append(B.from_planes(b, np.uint32))
+                words += [B.from_planes(x, U64) for x in bits]
         key, uid, size = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes)
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.zeros(len(order) + 1, dtype=bool)
         same[1:-1] = key[1:] == key[:-1]
         kept = same[:-1] | same[1:]
+        if rule is not None:
+            rows = np.flatnonzero(kept)
+            kept[rows] = _partnered(key[rows], (size[order[rows]] >> 1).astype(np.int64), np.concatenate(words)[order[rows]], rule)
         if len(salted):
             at = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
             found = salted[at] == key
@@ -235,7 +295,7 @@ def _members(k: int, path: str):
     return run
 
 
-def _linked(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, num: int, den: int) -> list[int]:
+def _linked(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, rule: Rule) -> list[int]:
     """Which of the pairs (u, v) link, but for those that links before them have joined."""
     root = list(range(len(sets)))
 
@@ -248,18 +308,13 @@ def _linked(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, num: int, den:
     out = []
     for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
         x, y = top(a), top(b)
-        if x != y:
-            small, large = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int(np.count_nonzero(large[at] == small))
-            if den * both >= num * (len(small) + len(large) - both):
-                root[y] = x
-                out.append(i)
+        if x != y and rule.linked(sets[a], sets[b]):
+            root[y] = x
+            out.append(i)
     return out
 
 
-def _decide(num: int, den: int):
+def _decide(rule: Rule):
     """Links of one tile after another. Rows come sorted by (tile, uid): first the tile's pairs, as places in its
     uids (no pairs: the first with each other), then its sets."""
 
@@ -269,7 +324,7 @@ def _decide(num: int, den: int):
         def finish() -> Iterator[pa.RecordBatch]:
             if tile is not None:
                 u, v = np.frombuffer(pairs, np.int32).reshape(2, -1) if pairs is not None else (np.zeros(len(uids) - 1, np.int32), np.arange(1, len(uids), dtype=np.int32))
-                found = _linked([sets[x] for x in uids], u, v, num, den)
+                found = _linked([sets[x] for x in uids], u, v, rule)
                 ids = np.array(uids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[u[found]]), pa.array(ids[v[found]])], names=["u", "v"])
 
@@ -286,13 +341,14 @@ def _decide(num: int, den: int):
     return run
 
 
-def _verify(blocks: DataFrame, pieces: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """Links among the pairs of stored pieces of tiles, by intersecting their sets; they join what all links would."""
-    path = _side(pieces.select("tile", F.explode("uids").alias("uid")), "asked", parts)
-    sent = blocks.mapInArrow(_members(k, path), "tile long, uid long, uids array<long>, data binary")
+SENT_MEMBERS = "tile long, uid long, uids array<long>, data binary"
+
+
+def decided(pieces: DataFrame, sent: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """Links among the pairs of stored pieces of tiles, by the rows' data that was ``sent``; they join what all links would."""
     heads = pieces.select("tile", F.lit(None).cast("long").alias("uid"), "uids", F.col("pairs").alias("data"))
     dealt = sent.union(heads).repartition(parts, "tile").sortWithinPartitions("tile", "uid")
-    return _scratch.stored(dealt.mapInArrow(_decide(num, den), "u long, v long"), "links")
+    return _scratch.stored(dealt.mapInArrow(_decide(rule), "u long, v long"), "links")
 
 
 class _Bitmaps:
@@ -322,7 +378,7 @@ class _Bitmaps:
         return out
 
 
-def _tile(num: int, den: int, limit: int | None):
+def _tile(rule: Rule, limit: int | None):
     """Pieces of the pairs of a tile whose sizes and bitmaps allow a link. Rows come sorted by (family, ti, tj).
 
     Of a tile with more than ``limit`` pairs a row every row comes with its most central partner only,
@@ -338,12 +394,11 @@ def _tile(num: int, den: int, limit: int | None):
         def possible(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             swap = n[a] > n[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            ok = early[a] & ~(upper[a] & upper[b]) & (comp[a] != comp[b]) & (n[b] * num <= n[a] * den)
+            ok = early[a] & ~(upper[a] & upper[b]) & (comp[a] != comp[b]) & (n[b] * rule.num <= n[a] * rule.den)
             a, b = a[ok], b[ok]
-            total = n[a] + n[b]
-            most = (total - bitmaps.differ(a, b)) // 2
-            fine = den * most >= num * (total - most)
-            return a[fine], b[fine], most[fine] / (total - most)[fine]
+            differ = bitmaps.differ(a, b)
+            fine = rule.possible(n[a], n[b], differ)
+            return a[fine], b[fine], -differ[fine] / (n[a] + n[b])[fine]
 
         def pieces(s: int, a: np.ndarray, b: np.ndarray, close: np.ndarray, rows: int) -> Iterator[tuple]:
             partial = limit is not None and len(a) > limit * rows
@@ -467,18 +522,33 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = len(token) - 1 - order
     frequent = token[order]
     salts = -(-often.column("times").to_numpy()[order] // HOT_ROWS)
-    hot = salts > 1
     sets = described.where("uid is not null")
     classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"))
     reps = _side(classes.select("uid"), "reps", parts)
     sent = blocks.mapInArrow(_prefixes(k, num, den, reps, frequent, rank, salts, parts), B.SENT_SCHEMA)
-    groups = sent.repartition(parts, "bucket").mapInArrow(_groups(frequent[hot], salts[hot]), GROUP_SCHEMA)
+    groups = sent.repartition(parts, "bucket").mapInArrow(_groups(frequent[salts > 1], salts[salts > 1]), GROUP_SCHEMA)
+
+    def members(asked: DataFrame) -> DataFrame:
+        return blocks.mapInArrow(_members(k, _side(asked, "asked", parts)), SENT_MEMBERS)
+
+    links = linked_rows(groups, sets.select("uid", "sig", F.col("n").alias("size")), jaccard_rule(num, den), members, parts)
+    return Join(sets.drop("sig", "frequent", "times"), links, whole, parts)
+
+
+def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Links (u, v) that span all components of rows of one group that link by ``rule``.
+
+    ``groups``: GROUP_SCHEMA; any two rows that link have a token in common for which the smaller is ``early``.
+    ``sig``: (uid, sig, size). ``members`` sends the data of asked rows (tile, uid) as SENT_MEMBERS.
+    """
     # sizes of a link differ by den / num at most, so they lie in one band or in two neighbouring ones
-    band = F.floor(F.log("n") / max(math.log(den / num) * (1 + 1e-9), 1e-6)).cast("long")
+    band = F.floor(F.log("n") / max(math.log(rule.den / rule.num) * (1 + 1e-9), 1e-6)).cast("long")
     groups = _scratch.stored(groups.withColumn("band", band), "groups")
 
+    def verified(pieces: DataFrame) -> DataFrame:
+        return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
+
     # first round: the smallest row of each band with the others of it
-    sig = sets.select("uid", "sig", F.col("n").alias("size"))
     heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("token", "band", F.col("first.uid").alias("hub"))
     pairs = groups.join(heads, ["token", "band"]).where("hub <> uid").select("hub", "uid").distinct()
     pairs = pairs.join(sig, "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
@@ -489,13 +559,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(F.size(sig) > width, halves).otherwise(F.col(sig))
 
     differ = F.aggregate(F.zip_with(folded("sig"), folded("hub_sig"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    most = F.floor((F.col("size") + F.col("hub_size") - differ) / 2)
-    pairs = _scratch.stored(pairs.where(den * most >= num * (F.col("size") + F.col("hub_size") - most)).select("hub", "uid", "size"), "pairs")
+    n, m = F.least("size", "hub_size"), F.greatest("size", "hub_size")
+    pairs = _scratch.stored(pairs.where((m * rule.num <= n * rule.den) & rule.possible(n, m, differ)).select("hub", "uid", "size"), "pairs")
     hubs = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / HUB_ROWS, F.sum("size") / TILE_WINDOWS)).alias("tiles"))
     salt = F.abs(F.xxhash64("uid") % F.col("tiles"))
     pieces = pairs.join(hubs, "hub").groupBy("hub", salt.alias("salt")).agg(F.collect_list("uid").alias("uids"))
     pieces = pieces.select(F.shiftrightunsigned(F.xxhash64("hub", "salt"), 1).alias("tile"), F.concat(F.array("hub"), "uids").alias("uids"), F.lit(None).cast("binary").alias("pairs"))
-    links = _verify(blocks, _scratch.stored(pieces, "pieces"), k, num, den, parts)
+    links = verified(_scratch.stored(pieces, "pieces"))
 
     # further rounds: rows of different components, until all of their pairs are decided
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
@@ -505,13 +575,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("labels") - 1)).alias("o")
         placed = placed.select("*", other).select("family", F.least("label", "o").alias("ti"), F.greatest("label", "o").alias("tj"), F.col("label").alias("t"), "uid", "n", "early", "upper", "comp", "sig")
         placed = placed.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj")
-        pieces = _scratch.stored(placed.mapInArrow(_tile(num, den, limit), PIECE_SCHEMA), "pieces")
+        pieces = _scratch.stored(placed.mapInArrow(_tile(rule, limit), PIECE_SCHEMA), "pieces")
         if pieces.isEmpty():
             break
-        links = links.union(_verify(blocks, pieces, k, num, den, parts))
+        links = links.union(verified(pieces))
         if pieces.where("partial").isEmpty():
             break
-    return Join(sets.drop("sig", "frequent", "times"), links, whole, parts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -516,9 +516,9 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("tile", [3, 2048])
 def test_line_dedup_brute_force(spark, monkeypatch, tile):
     """All pairs of distinct lines, linked by the two conditions; the first occurrence of a group stays."""
-    monkeypatch.setattr(line_dedup, "TILE_ROWS", tile)
-    monkeypatch.setattr(line_dedup, "HUB_ROWS", 2)
-    monkeypatch.setattr(line_dedup, "PAIRS_PER_ROW", tile % 7)
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
+    monkeypatch.setattr(jaccard, "HUB_ROWS", 2)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", tile % 7)
     rng = random.Random(11)
     vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     seeds = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 70))] for _ in range(25)]

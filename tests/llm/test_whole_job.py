@@ -9,7 +9,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
-from spanforge.llm import katz, line_dedup, queries, url_rules
+from spanforge.llm import jaccard, katz, line_dedup, queries, url_rules
 
 
 @pytest.fixture
@@ -39,7 +39,8 @@ def edited(rng, words, vocabulary, n):
 @pytest.mark.parametrize("size", [30, 400])
 def test_line_dedup_links_all_similar_lines(spark, folder, monkeypatch, size):
     """Groups by edit similarity alone, over all pairs of distinct lines; few words make repeated word pairs."""
-    monkeypatch.setattr(line_dedup, "PAIRS_PER_ROW", 2)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", 2)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 2)
     rng = random.Random(size)
     vocabulary = ["".join(rng.choice("abcdefghijk") for _ in range(8)) for _ in range(size)]
     seeds = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 5, 6, 7, 8, 9, 10, 10, 12, 15, 20, 24, 30, 40, 60, 100)]
@@ -57,18 +58,24 @@ def test_line_dedup_links_all_similar_lines(spark, folder, monkeypatch, size):
     assert [i for i in got if got[i]] and {i for i in got if got[i]} == set(group)
 
 
-def test_similar_lines_share_a_first_word_pair():
-    """The bound behind the keys, whatever the common order."""
+def test_similar_lines_share_a_first_gram():
+    """The bound behind the keys, whatever the common order, for lines of all lengths about the change of kinds."""
     rng = random.Random(8)
-    for _ in range(3000):
-        a = [rng.randrange(12) for _ in range(rng.randint(4, 40))]
+    for _ in range(6000):
+        a = [rng.randrange(12) for _ in range(rng.choice([4, 5, 8, 9, 10, 11, 12, 13, 20, 40]))]
         b = edited(rng, a, range(12), rng.randint(1, max(1, len(a) // 5)))
         most = max(len(a), len(b))
         if a == b or 100 * (most - line_dedup.edit_distance(a, b)) < 80 * most:
             continue
-        seed = rng.random()
-        first = [set(sorted(set(pairwise(x)), key=lambda p: hash((p, seed)))[: int(line_dedup._prefix(np.array([len(x)]), 80, 100)[0])]) for x in (a, b)]
-        assert first[0] & first[1]
+        seed, found = rng.random(), []
+        for x in (a, b):
+            n, keys = np.array([len(x)]), set()
+            for q, keyed in line_dedup._kinds(n, 80, 100):
+                grams = {tuple(x[i : i + q]) for i in range(len(x) - q + 1)}
+                if keyed[0]:
+                    keys |= set(sorted(grams, key=lambda g: hash((g, seed)))[: int(line_dedup._prefix(n, 80, 100, q)[0])])
+            found.append(keys)
+        assert found[0] & found[1]
 
 
 def test_line_dedup_short_lines(spark, folder):
