@@ -110,44 +110,100 @@ class _Inflated:
         self.ready.clear()
 
 
+VERSIONS = (b"WARC/1.0", b"WARC/1.1")
+#: Bytes of an HTTP head; a longer block without its end in them is payload, a shorter one is all head.
+MOST_HEAD = 1 << 20
+
+
 def _headers(source: _Inflated) -> dict[str, str]:
-    out = {}
+    out, last = {}, None
     while line := source.line():
-        name, _, value = line.decode().partition(":")
-        out[name.strip().lower()] = value.strip()
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and last:  # a folded line goes on with the one before
+            out[last] += f" {text.strip()}"
+            continue
+        name, _, value = text.partition(":")
+        last = name.strip().lower()
+        out[last] = value.strip()
     return out
 
 
-def _page(urn: str) -> int | None:
-    text = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def _page(urn: str | None) -> int | None:
+    """The page's number, where this module's writer has named the record."""
+    text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(text) if text.lstrip("-").isdigit() else None
+
+
+def _address(text: str | None) -> str | None:
+    """A target as it is, or without the angle brackets of version 1.0."""
+    text = text and text.strip()
+    return text[1:-1] if text and text[0] == "<" and text[-1] == ">" else text
 
 
-def read_stream(stream) -> Iterator[dict]:
-    """Records of one archive. ``payload`` is None for revisits; ``payload_bytes`` and
-    ``payload_digest`` are of the full payload for both kinds."""
+def _told(head: dict[str, str], name: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest in base 32 or hexadecimal; None for one that isn't there or of an unknown kind."""
+    kind, _, text = head.get(name, "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    size, text = hashlib.new(kind).digest_size, text.strip()
+    try:
+        return kind, bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError as e:
+        raise WarcError(f"{name} can't be read: {text}") from e
+
+
+def read_stream(stream, keep: bool = True) -> Iterator[dict]:
+    """Records of one archive of gzip members, of versions 1.0 and 1.1 and any type.
+
+    ``payload`` is what follows the HTTP head, or the whole block of other content types; None for revisits, and
+    without ``keep``, where no record is held in memory. ``payload_bytes`` and ``payload_digest`` (hexadecimal SHA-256)
+    are of the full payload; of a revisit they are what it tells, its digest of whatever kind, or None. ``page_id`` and ``refers_to``
+    are None for records of other writers. Digests that a record has are checked; one that doesn't fit, and any break of the format, is a WarcError.
+    """
     source = _Inflated(stream)
     while source.next_member():
-        if source.line() != b"WARC/1.1":
-            raise WarcError("not a WARC/1.1 record")
+        if source.line() not in VERSIONS:
+            raise WarcError("not a WARC record of version 1.0 or 1.1")
         head = _headers(source)
-        left = int(head["content-length"])
-        digest, block = hashlib.sha256(), bytearray()
-        for piece in source.exactly(left):
-            digest.update(piece)
-            block += piece
+        name, length = head.get("warc-record-id", "a record without id"), head.get("content-length", "")
+        if not length.isdigit():
+            raise WarcError(f"{name} has no Content-Length")
+        told_block, told = _told(head, "warc-block-digest"), _told(head, "warc-payload-digest")
+        block = hashlib.new(told_block[0]) if told_block else None
+        sha, other = hashlib.sha256(), hashlib.new(told[0]) if told and told[0] != "sha256" else None
+        front = bytearray() if head.get("content-type", "").lower().startswith("application/http") else None
+        http, payload, size = b"", bytearray(), 0
+        for piece in source.exactly(int(length)):
+            if block:
+                block.update(piece)
+            if front is not None:
+                front += piece
+                at = front.find(b"\r\n\r\n")
+                if at < 0 and len(front) < MOST_HEAD:
+                    continue
+                http, piece, front = (bytes(front[:at]), bytes(front[at + 4 :]), None) if at >= 0 else (b"", bytes(front), None)
+            sha.update(piece)
+            if other:
+                other.update(piece)
+            size += len(piece)
+            if keep:
+                payload += piece
         source.end()
-        if f"sha256:{base64.b32encode(digest.digest()).decode()}" != head["warc-block-digest"]:
-            raise WarcError(f"block digest of {head['warc-record-id']} doesn't fit")
-        http, _, payload = bytes(block).partition(b"\r\n\r\n")
-        fields = dict(x.lower().split(b": ", 1) for x in http.split(b"\r\n")[1:])
-        told, revisit = base64.b32decode(head["warc-payload-digest"].removeprefix("sha256:")), head["warc-type"] == "revisit"
-        if not revisit and hashlib.sha256(payload).digest() != told:
-            raise WarcError(f"payload digest of {head['warc-record-id']} doesn't fit")
+        if front:
+            http = bytes(front)
+        if block and block.digest() != told_block[1]:
+            raise WarcError(f"block digest of {name} doesn't fit")
+        kind = head.get("warc-type", "").lower()
+        revisit = kind == "revisit"
+        if told and not revisit and (other or sha).digest() != told[1]:
+            raise WarcError(f"payload digest of {name} doesn't fit")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+        full = fields.get(b"content-length", b"")
         yield {
-            "page_id": _page(head["warc-record-id"]), "url": head.get("warc-target-uri"), "record_type": head["warc-type"],
-            "refers_to": _page(head["warc-refers-to"]) if revisit else None, "payload_bytes": int(fields[b"content-length"]),
-            "payload_digest": told.hex(), "payload": None if revisit else payload,
+            "page_id": _page(head.get("warc-record-id")), "url": _address(head.get("warc-target-uri")), "record_type": kind,
+            "refers_to": _page(head.get("warc-refers-to")) if revisit else None, "payload_bytes": (int(full) if full.isdigit() else None) if revisit else size,
+            "payload_digest": (told[1].hex() if told else None) if revisit else sha.hexdigest(), "payload": bytes(payload) if keep and not revisit else None,
         }
 
 
@@ -212,7 +268,7 @@ def _reader(folder: str, with_payload: bool):
             for archive in batch.column(0).to_pylist():
                 held, size = [], 0
                 with fs.open_input_stream(f"{path}/{archive}", compression=None) as stream:
-                    for x in read_stream(stream):
+                    for x in read_stream(stream, with_payload):
                         held.append(x)
                         size += len(x["payload"] or b"") if with_payload else 0
                         if len(held) == 4096 or size > 8 << 20:
@@ -225,7 +281,7 @@ def _reader(folder: str, with_payload: bool):
 
 
 def archive_list(spark: SparkSession, folder: str) -> DataFrame:
-    """All archives of a folder, for archives that came from elsewhere."""
+    """All archives of a folder, for archives that came from elsewhere; their records may be of any type."""
     fs, path = _scratch.filesystem(folder)
     found = [(x.base_name,) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".warc.gz")]
     return spark.createDataFrame(found, "archive string")
