@@ -195,7 +195,8 @@ def exchange(sent: DataFrame, n_buckets: int, dtypes: list[type], answer: Callab
 
     spark = sent.sparkSession
     dealt = sent.repartition(n_buckets, "bucket").mapInArrow(run, "bid long, grp long, bucket int, answer binary, sums array<double>")
-    back = dealt.repartition(max(2 * spark.sparkContext.defaultParallelism, n_buckets // 4), "grp").sortWithinPartitions("grp", "bid", "bucket")
+    n_back = max(2 * spark.sparkContext.defaultParallelism, n_buckets)
+    back = dealt.repartitionById(n_back, F.pmod("grp", F.lit(n_back)).cast("int")).sortWithinPartitions("grp", "bid", "bucket")
     path = _scratch.materialize(back, label, partition_by="grp")
     return path, spark.read.schema("bid long, bucket int, answer binary, sums array<double>, grp long").parquet(path)
 
@@ -207,18 +208,22 @@ def summed(spark: SparkSession, answers: DataFrame, n: int) -> list[float]:
 
 
 class Answers:
-    """In a task: the answers of an exchange to one block after another."""
+    """In a task: the answers of an exchange to one block after another. They are read along with the
+    blocks, which come in order, so that a task holds those of one block."""
 
     def __init__(self, path: str, dtype: type):
-        self.path, self.dtype, self.grp, self.rows = path, dtype, None, {}
+        self.path, self.dtype, self.grp, self.last = path, dtype, None, -1
+        self.rows, self.next = iter(()), None
 
     def of(self, bid: int) -> np.ndarray:
         """The answers to the block's keys, in the order of its sorted keys."""
-        if bid >> _BITS != self.grp:
-            self.grp, self.rows = bid >> _BITS, {}
-            table = _scratch.read_side_table(f"{self.path}/grp={self.grp}", ["bid", "bucket", "answer"])
-            if table is not None:
-                for b, k, a in zip(*(table.column(c).to_pylist() for c in ("bid", "bucket", "answer")), strict=True):
-                    self.rows.setdefault(b, []).append((k, a))
-        found = [from_planes(a, self.dtype) for _, a in sorted(self.rows.get(bid, []))]
+        if bid >> _BITS != self.grp or bid <= self.last:
+            self.grp = bid >> _BITS
+            self.rows = _scratch.read_sorted(f"{self.path}/grp={self.grp}", ["bid", "bucket", "answer"], 2)
+            self.next = next(self.rows, None)
+        self.last, found = bid, []
+        while self.next is not None and self.next[0] <= bid:
+            if self.next[0] == bid:
+                found.append(from_planes(self.next[2], self.dtype))
+            self.next = next(self.rows, None)
         return np.concatenate(found) if found else np.empty(0, self.dtype)

@@ -6,12 +6,15 @@ names in ``spark.checkpoint.dir``; it outlives lost executors and cuts the linea
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,9 +32,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/spanforge-{label}-{uuid.uuid4().hex}"
 
 
+#: While a table is written, shuffle files of its query go as soon as it is there, and not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> str:
     """Write ``df`` once below the shared folder and return the path."""
-    path = scratch_dir(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
     writer = (
         df.write.option("compression", "zstd")
         .option("parquet.page.size.row.check.min", "1")
@@ -39,7 +47,15 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> s
     )
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return path
 
 
@@ -69,6 +85,23 @@ def read_side_table(uri: str, columns: list[str]) -> pa.Table | None:
     return data.to_table(columns=columns) if data.files else None
 
 
+def read_sorted(uri: str, columns: list[str], keys: int) -> Iterator[tuple]:
+    """Rows of a Parquet folder, of files that are sorted by the first ``keys`` columns, in that order and a few at a time."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return iter(())
+
+    def rows(name: str) -> Iterator[tuple]:
+        with fs.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f, buffer_size=1 << 20, pre_buffer=False).iter_batches(64, columns=columns):
+                cells = [batch.column(c).to_pylist() for c in columns]
+                while cells[0]:
+                    yield tuple(c.pop(0) for c in cells)
+
+    names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".parquet"))
+    return heapq.merge(*map(rows, names), key=lambda r: r[:keys])
+
+
 def partitions_for(spark: SparkSession, n_bytes: int, per_partition: int = 16 << 20) -> int:
     """Partitions for so many bytes: in proportion to the data, and enough for every core."""
     return max(2 * spark.sparkContext.defaultParallelism, -(-int(n_bytes or 0) // per_partition))

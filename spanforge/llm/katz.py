@@ -133,11 +133,18 @@ def _count(top: int, mark: bool):
     return answer
 
 
-def _masses(keys: np.ndarray, extra: list[np.ndarray], source: np.ndarray) -> tuple[np.ndarray, list]:
+def _backoffs(keys: np.ndarray, extra: list[np.ndarray], source: np.ndarray) -> tuple[np.ndarray, list]:
+    """The backoff weight of each context, negative where it counts one more event."""
+    kept, below, seen = extra
     order = np.argsort(keys, kind="stable")
     group = np.cumsum(np.append(True, keys[order][1:] != keys[order][:-1])) - 1
-    out = np.empty(len(keys), np.complex128)
-    out[order] = np.bincount(group, weights=extra[0][order])[group] + 1j * np.bincount(group, weights=extra[1][order])[group]
+    kept, below = (np.bincount(group, weights=x[order])[group] for x in (kept, below))
+    seen = seen[order].astype(np.float64)
+    more = seen - kept <= 1e-9 * seen
+    total = seen + more
+    weight = np.where(kept > 0, (total - kept) / total / np.maximum(1 - below, 1e-300), 1)
+    out = np.empty(len(keys))
+    out[order] = np.where(more, -weight, weight)
     return out, []
 
 
@@ -146,7 +153,8 @@ class _Contexts:
 
     def __init__(self, pairs: _Pairs, answer: np.ndarray | None, model: Model, min_count: int):
         self.rows = np.flatnonzero(pairs.context >= min_count)
-        self.keys, self.at = np.unique(mix(pairs.previous[self.rows]), return_inverse=True)
+        self.keys, head, self.at = np.unique(mix(pairs.previous[self.rows]), return_index=True, return_inverse=True)
+        self.seen = pairs.context[self.rows[head]].astype(np.uint32)
         if answer is None:
             return
         uses, speaks = (answer & ~_REP).astype(np.int64), answer >= _REP
@@ -202,27 +210,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def one(block: B.Block) -> Iterator[pa.RecordBatch]:
             p = _Pairs(_Tokens(block), words_of.of(block.bid), model, min_count)
             c = _Contexts(p, pairs_of.of(block.bid), model, min_count)
-            yield from B.sent_rows(block.bid, c.keys, [c.kept, c.words], buckets)
+            yield from B.sent_rows(block.bid, c.keys, [c.kept, c.words, c.seen], buckets)
 
         for block in B.each_block(batches):
             yield from one(block)
 
-    masses, _ = B.exchange(blocks.mapInArrow(masses_out, B.SENT_SCHEMA), buckets, [np.float64, np.float64], _masses, "masses")
+    backoffs, _ = B.exchange(blocks.mapInArrow(masses_out, B.SENT_SCHEMA), buckets, [np.float64, np.float64, np.uint32], _backoffs, "backoffs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, pairs_of, masses_of = B.Answers(words, U64), B.Answers(pairs, U64), B.Answers(masses, np.complex128)
+        words_of, pairs_of, backoffs_of = B.Answers(words, U64), B.Answers(pairs, U64), B.Answers(backoffs, np.float64)
 
         def one(block: B.Block) -> pa.RecordBatch:
             t = _Tokens(block)
             p = _Pairs(t, words_of.of(block.bid), model, min_count)
             estimate = word_estimate(p.count, model)
             c = _Contexts(p, None, model, min_count)
-            mass = masses_of.of(block.bid)[c.at]
-            seen, kept, below = p.context[c.rows], mass.real, mass.imag
-            total = np.where(seen - kept > 1e-9 * seen, seen, seen + 1)  # leaves mass to the backoff
+            weight = backoffs_of.of(block.bid)[c.at]
             events = p.context.astype(np.float64)
-            events[c.rows] = total
-            estimate[c.rows] *= np.where(kept > 0, (total - kept) / total / np.maximum(1 - below, 1e-300), 1)
+            events[c.rows] += weight < 0  # leaves mass to the backoff
+            estimate[c.rows] *= np.abs(weight)
             r = np.zeros(len(t.tokens), np.int64)
             r[p.asked] = (pairs_of.of(block.bid) & ~_REP)[p.at].astype(np.int64)
             have = np.flatnonzero(r >= min_count)
