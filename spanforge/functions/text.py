@@ -121,3 +121,8 @@ def camel_case(text: Column) -> Column:
 def masked_quotes(text: Column, separator: str) -> Column:
     """Separators inside double quotes replaced by a placeholder."""
     return F.regexp_replace(text, f'{separator}(?=[^"]*"[^"]*(?:"[^"]*"[^"]*)*$)', "\x01")
+
+
+def scramble(text: Column, seed: int) -> Column:
+    """The letters in another order."""
+    return F.array_join(F.shuffle(F.split(text, ""), seed), "")

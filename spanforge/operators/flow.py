@@ -47,6 +47,10 @@ class Flow:
     def sort(self, *order: Column | str) -> Flow:
         return self._with(self.df.orderBy(*order))
 
+    def resort(self, weak: list[str], strong: list[Column | str]) -> Flow:
+        """Rows sorted inside runs of equal weak keys, by ranges of them."""
+        return self._with(self.df.repartitionByRange(*weak).sortWithinPartitions(*weak, *strong))
+
     def head(self, n: int) -> Flow:
         return self._with(self.df.limit(n))
 
@@ -171,3 +175,22 @@ def parallel(name_to_frame: dict[str, DataFrame], key: list[str]) -> DataFrame:
 def set_operation(op: str, a: Column, b: Column) -> Column:
     """Union, Intersect or Subtract of set-valued cells, sorted."""
     return F.array_sort({"Union": F.array_union, "Intersect": F.array_intersect, "Subtract": F.array_except}[op](a, b))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], combine: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """Rows of both by key, values of equal keys put together."""
+    return chain(old.select(*keys, *combine), new.select(*keys, *combine)).groupBy(*keys).agg(*[f(c).alias(c) for c, f in combine.items()])
+
+
+def split_write(df: DataFrame, condition: Column, inside: str, outside: str) -> None:
+    """Rows that meet a condition go to one folder, the others to another."""
+    hit = F.coalesce(condition, F.lit(False))
+    df.where(hit).write.parquet(inside)
+    df.where(~hit).write.parquet(outside)
+
+
+def cross_product(df: DataFrame, **lists: list) -> DataFrame:
+    """Every row with every combination of the given values."""
+    for name, values in lists.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df

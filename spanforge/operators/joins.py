@@ -165,3 +165,43 @@ def liftover(df: DataFrame, chain: DataFrame, key: str) -> DataFrame:
     status = F.when(F.size("i") == 0, "unmapped").when(F.size("i") == 1, "mapped").otherwise("multimapped")
     one = F.when(F.size("i") == 1, F.get("i", F.lit(0)))
     return found.select(key, status.alias("status"), one["ref"].alias("ref"), one["pos"].alias("pos"))
+
+
+def liftover_regions(df: DataFrame, chain: DataFrame, key: str) -> DataFrame:
+    """Whole regions mapped part by part: (key, status, ref, strand, parts).
+
+    ``df``: (key, ref, strand, parts); ``chain``: (ref, s, e, to_ref, to_s, to_strand), blocks that turn round if to_strand is ``-``. A part must
+    lie in a block. ``ok``: each part has one image, all on one reference and strand; ``unmapped``: none has one; ``multimapped``: one has several;
+    else ``partial``.
+    """
+    spread = explode_bins(chain.withColumnsRenamed({"ref": "_ref", "s": "_s", "e": "_e"}), "_s", "_e", BIN, "_cbin")
+    each = df.select(key, "ref", "strand", F.posexplode("parts").alias("i", "p")).withColumn("_bin", bin_of(F.col("p.s"), BIN))
+    hit = (F.col("ref") == F.col("_ref")) & (F.col("_bin") == F.col("_cbin")) & (F.col("p.s") >= F.col("_s")) & (F.col("p.e") <= F.col("_e"))
+    turned = F.col("to_strand") == "-"
+    s = F.col("to_s") + F.when(turned, F.col("_e") - F.col("p.e")).otherwise(F.col("p.s") - F.col("_s"))
+    strand = F.when(turned, R.opposite("strand")).otherwise(F.col("strand"))
+    image = F.when(F.col("to_ref").isNotNull(), F.struct(F.col("to_ref").alias("ref"), strand.alias("strand"), R.part(s, s + F.col("p.e") - F.col("p.s")).alias("part")))
+    per_part = each.join(spread, hit, "left").groupBy(key, "i").agg(F.collect_set(image).alias("images"))
+    n = F.size("images")
+    one = F.get("images", F.lit(0))
+    found = per_part.groupBy(key).agg(
+        F.max(n).alias("most"), F.min(n).alias("least"), F.count_distinct(F.struct(one["ref"], one["strand"])).alias("places"),
+        F.min(one["ref"]).alias("ref"), F.min(one["strand"]).alias("strand"), R.normalize(F.collect_list(one["part"])).alias("parts"),
+    )
+    status = F.when(F.col("most") > 1, "multimapped").when(F.col("most") == 0, "unmapped").when((F.col("least") == 1) & (F.col("places") == 1), "ok").otherwise("partial")
+    out = found.withColumn("status", status)
+    kept = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    return out.select(key, "status", kept("ref"), kept("strand"), kept("parts"))
+
+
+def nearest_2d(left: DataFrame, right: DataFrame, key: str, max_distance: float) -> DataFrame:
+    """For each left point (key, x, y) the nearest right points within a distance, all ties: (key, r, distance).
+    Points meet in cells as wide as the distance, and in the eight around them."""
+    cell = lambda c: F.floor(F.col(c) / max_distance)
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    ls = left.select(key, "x", "y", F.explode(near).alias("o")).withColumns({"_cx": cell("x") + F.col("o.i"), "_cy": cell("y") + F.col("o.j")})
+    rs = right.select(F.struct("*").alias("r"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    distance = F.hypot(F.col("x") - F.col("r.x"), F.col("y") - F.col("r.y"))
+    pairs = ls.join(rs, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= max_distance)
+    best = pairs.groupBy(key).agg(F.min("distance").alias("distance"))
+    return pairs.select(key, "r", "distance").join(best, [key, "distance"]).select(key, "r", "distance")

@@ -95,3 +95,40 @@ def frame(p: Column) -> Column:
 
 def relative_bin(p: Column, length: Column, bins: int) -> Column:
     return F.floor(p * bins / length)
+
+
+CHAINS = ("None", "FirstForEach", "FirstForAny")
+
+
+def map_values(values: Column, cases: list[tuple[str, object, str | None]], chain: str = "None", default: str | None = None) -> Column:
+    """Labels of a set of values by rules (kind, pattern, label): ``regex``, ``contains``, ``equals``, or ``table`` with a dictionary as
+    pattern. All rules count (chain ``None``), the first that fits each value, or the first that fits any. The default stands where nothing fits."""
+
+    def fits(kind: str, pattern, label):
+        if kind == "table":
+            table = F.create_map(*[F.lit(x) for pair in pattern.items() for x in pair])
+            return lambda v: F.try_element_at(table, v)
+        test = {"regex": lambda v: v.rlike(f"^(?:{pattern})$"), "contains": lambda v: F.contains(v, F.lit(pattern)), "equals": lambda v: v == pattern}[kind]
+        return lambda v: F.when(test(v), F.lit(label))
+
+    found = [fits(*c) for c in cases]
+    sets = [F.array_compact(F.transform(values, f)) for f in found]
+    if chain == "FirstForEach":
+        labels = F.array_compact(F.transform(values, lambda v: F.coalesce(*[f(v) for f in found])))
+    elif chain == "FirstForAny":
+        labels = F.coalesce(*[F.when(F.size(s) > 0, s) for s in sets], F.array().cast("array<string>"))
+    elif chain == "None":
+        labels = F.flatten(F.array(*sets))
+    else:
+        raise ValueError(f"no such chain: {chain}")
+    labels = F.array_sort(F.array_distinct(labels))
+    return labels if default is None else F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(default)))
+
+
+def sequence_between(parts: Column, sequence: Column, start: Column | int, stop: Column | int) -> Column:
+    """Bases of a region's induced positions start .. stop-1, introns left out; null outside."""
+    from ..functions import region as R
+
+    bases = R.extract_sequence(parts, sequence)
+    a, b = (F.lit(x) if isinstance(x, int) else x for x in (start, stop))
+    return F.when((a >= 0) & (b <= F.length(bases)) & (a < b), F.substr(bases, (a + 1).cast("int"), (b - a).cast("int")))

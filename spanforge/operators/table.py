@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ class View:
             c = self.condition & c if op == "AND" else self.condition | c
         return replace(self, condition=c)
 
+    def where_ids(self, column: str, ids: list | DataFrame) -> View:
+        """Rows whose id is in a set: the bounds and the values of a list, or a semi join with a frame's first column."""
+        if isinstance(ids, DataFrame):
+            known = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
+            return replace(self, table=self.table.join(known, column, "left_semi").select(*self.table.columns))
+        if not ids:
+            return self.where(F.lit(False))
+        return self.where(F.col(column).between(min(ids), max(ids)) & F.col(column).isin(list(ids)))
+
+    def where_attribute(self, key: str, attributes: DataFrame, condition: Column | str) -> View:
+        """Rows whose key has an entry in another table that meets a condition."""
+        return self.where_ids(key, attributes.where(condition).select(key))
+
     def order_by(self, *order: Column | str) -> View:
         return replace(self, order=order)
 
@@ -135,3 +150,41 @@ class Catalog:
     def drop(self, name: str) -> None:
         fs, jvm = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+
+def check_expression(df: DataFrame, expression: str) -> str | None:
+    """What is wrong with an expression over the columns of a frame; None if nothing."""
+    try:
+        df.select(F.expr(expression)).schema  # noqa: B018
+    except AnalysisException as e:
+        return str(e).splitlines()[0]
+    return None
+
+
+def split_condition(text: str) -> list[tuple[str, str]]:
+    """A condition as a sequence of (AND or OR, clause) at the top level, outside quotes and parentheses; BETWEEN keeps its AND."""
+    out, depth, at, word, op, between = [], 0, 0, "", "AND", False
+    for token in re.finditer(r"'(?:[^']|'')*'|[()]|\b(?:and|or|between)\b|.", text, re.IGNORECASE | re.DOTALL):
+        word = token.group().upper()
+        depth += (word == "(") - (word == ")")
+        if depth == 0 and word == "BETWEEN":
+            between = True
+        elif depth == 0 and word == "AND" and between:
+            between = False
+        elif depth == 0 and word in ("AND", "OR"):
+            out.append((op, text[at : token.start()].strip()))
+            op, at = word, token.end()
+    return [*out, (op, text[at:].strip())]
+
+
+def scope(spark: SparkSession, kind: str, root: str | None = None) -> Catalog:
+    """A catalog of its own root, of the session's warehouse (``Workspace``) or of its shared scratch folder (``Temporary``)."""
+    from ..plans import store
+
+    if kind == "Workspace":
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tables"
+    elif kind == "Temporary":
+        root = store.folder(spark, "tables")
+    elif root is None:
+        raise ValueError("a catalog of its own needs a root")
+    return Catalog(spark, root)

@@ -147,3 +147,14 @@ def metagene(df: DataFrame, regions: DataFrame, region_id: str, bins: int) -> Da
     hits = explode_bins(regions, "s", "e", 1024, "_bin").join(df.withColumn("_bin", bin_of(F.col("pos"), 1024)), ["ref", "_bin"]).where("pos >= s and pos < e")
     at = F.floor((F.col("pos") - F.col("s")) * bins / (F.col("e") - F.col("s")))
     return hits.groupBy(at.alias("bin")).agg(F.sum("value").alias("v"))
+
+
+def pattern_matrix(df: DataFrame, length: str, pos: str, value: Column, weights: list[float] | None = None) -> DataFrame:
+    """Summed value by length and position, (length, pos, v), spread along the positions by kernel weights."""
+    sums = df.groupBy(length, pos).agg(F.sum(value).alias("v"))
+    if weights is None:
+        return sums
+    half = len(weights) // 2
+    each = F.explode(F.array(*[F.struct((F.col(pos) + i - half).alias("p"), F.lit(w).alias("w")) for i, w in enumerate(weights)]))
+    spread = sums.select(length, "v", each.alias("k"))
+    return spread.groupBy(length, F.col("k.p").alias(pos)).agg(F.sum(F.col("v") * F.col("k.w")).alias("v"))

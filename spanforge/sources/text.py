@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import region as R
 from . import locations
+from .sam import read_sam
 
 #: Separators that inference tries, in this order.
 SEPARATORS = "\t;, |#&"
@@ -197,6 +198,44 @@ def read_csv_lines(spark: SparkSession, lines: DataFrame, first: list[str]) -> D
     return rows.select(F.from_csv("value", F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), {"sep": sep}).alias("r")).select("r.*")
 
 
+def _lists(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: x.cast("bigint"))
+
+
+def read_exons(spark: SparkSession, path: str, ref: str, strand: str, starts: str, ends: str, one_based: bool = False, sep: str = "\t") -> DataFrame:
+    """A table whose rows are transcripts with lists of exon starts and ends in two columns: (ref, strand, parts) and its other columns."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    parts = F.zip_with(_lists(F.col(starts)), _lists(F.col(ends)), lambda a, b: R.part(a - int(one_based), b))
+    rest = [c for c in rows.columns if c not in (ref, strand, starts, ends)]
+    return rows.select(R.trim_reference(F.col(ref)).alias("ref"), _strand(F.col(strand)).alias("strand"), R.normalize(parts).alias("parts"), *rest)
+
+
+def write_genepred(df: DataFrame, path: str, name: Column) -> None:
+    """Lines of transcripts (ref, strand, parts, coding_start, coding_end) with lists of exon bounds."""
+    listed = lambda f: F.concat(F.array_join(F.transform("parts", lambda p: p[f].cast("string")), ","), F.lit(","))
+    coding = lambda c, other: F.when(F.col("coding_start") >= 0, F.col(c)).otherwise(other)
+    fields = [name, F.col("ref"), F.col("strand"), R.start("parts"), R.end("parts"), coding("coding_start", R.end("parts")), coding("coding_end", R.end("parts")), F.size("parts"), listed("s"), listed("e")]
+    df.select(F.concat_ws("\t", *[f.cast("string") for f in fields])).write.text(path)
+
+
+def write_position_graphs(df: DataFrame, folder: str, conditions: dict[str, Column]) -> None:
+    """For each condition a bedGraph of counts at the 5' ends per strand, below ``folder/name/plus`` and ``minus``."""
+    at = df.groupBy("ref", "strand", R.five_prime("strand", "parts").alias("pos")).agg(*[F.sum(c).alias(n) for n, c in conditions.items()])
+    for name in conditions:
+        for strand, label in (("+", "plus"), ("-", "minus")):
+            rows = at.where((F.col("strand") == strand) & (F.col(name) != 0)).orderBy("ref", "pos")
+            write_bedgraph(rows.select("ref", (F.col("pos") + 1).alias("s"), (F.col("pos") + 2).alias("e"), F.col(name).alias("depth")), f"{folder}/{name}/{label}")
+
+
+def write_frame(df: DataFrame, path: str, sep: str = "\t", header: bool = True) -> None:
+    df.write.csv(path, sep=sep, header=header)
+
+
+def write_flat_table(df: DataFrame, path: str, row: str, columns: list[str]) -> None:
+    """The entries of a matrix that aren't zero, as (row, column, value)."""
+    write_frame(df.unpivot(row, columns, "column", "value").where("value <> 0"), path)
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """Features (accession, type, strand, parts) of GenBank files; join and complement positions."""
     rows = spark.read.option("lineSep", "\n//").text(path).where("value like '%FEATURES%'")
@@ -218,7 +257,7 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
 #: Readers by file name ending.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bed": read_bed, "narrowPeak": read_narrowpeak, "gff": read_gff, "gff3": read_gff, "gtf": read_gtf, "locations": read_locations,
-    "fasta": read_fasta, "fa": read_fasta, "fastq": read_fastq, "gb": read_genbank, "csv": read_csv, "tsv": read_csv,
+    "sam": read_sam, "fasta": read_fasta, "fa": read_fasta, "fastq": read_fastq, "gb": read_genbank, "csv": read_csv, "tsv": read_csv,
     "parquet": lambda s, p: s.read.parquet(p), "json": lambda s, p: s.read.json(p), "orc": lambda s, p: s.read.orc(p), "txt": lambda s, p: s.read.text(p),
 }
 
