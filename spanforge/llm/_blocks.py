@@ -79,7 +79,8 @@ def _build(block_bytes: int) -> Callable:
 def block_table(docs: DataFrame, id_col: str, text_col: str, flag: object = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """The documents as a table of blocks in the shared folder, and the bytes of text in it.
 
-    Columns named in ``carry`` go along as they are.
+    Columns named in ``carry`` go along as they are. A text must be shorter than 2 GB, as a cell of the exchange with
+    Python can't hold more; a longer one fails the job.
     """
     spark = docs.sparkSession
     columns = [

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of a table that are broadcast at most; larger ones are joined by shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of text in it at most.
+BROADCAST_BYTES = 32 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -30,6 +32,6 @@ def window_hashes(words: str, k: int) -> Column:
     return F.transform(indices(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint, where so many rows are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, n_bytes: int | None = 0) -> DataFrame:
+    """A broadcast hint, where so many rows with so many bytes of text are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (n_bytes or 0) <= BROADCAST_BYTES else df

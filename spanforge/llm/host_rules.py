@@ -87,7 +87,8 @@ def host_verdicts(docs: DataFrame, host_col: str, rules: dict[str, Column], max_
         most = max(max_rate, min(CERTAIN, mean + OUTLIER * math.sqrt(mean * (1 - mean) / (alpha + beta + 1))))
         bad = bad | ((F.col(f"_f_{r}") + alpha) / (F.col("_n") + alpha + beta) > most)
     verdict = hosts.where(bad).select("_host", F.lit(False).alias("_kept"))
-    joined = docs.join(N.small(verdict, verdict.count()), docs[host_col].eqNullSafe(verdict["_host"]), "left")
+    rows, n_bytes = verdict.agg(F.count("*"), F.sum(F.octet_length(F.col("_host").cast("string")))).first()
+    joined = docs.join(N.small(verdict, rows, n_bytes), docs[host_col].eqNullSafe(verdict["_host"]), "left")
     return joined.withColumn("host_kept", F.coalesce("_kept", F.lit(True))).drop("_host", "_kept")
 
 

@@ -68,16 +68,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # extend the hits: every window of a candidate, as words
     pairs = bench.select("item", F.explode(_own_windows(sizes or [span], span)).alias("x"))
     pairs = _scratch.stored(pairs.select("item", "x.win").distinct(), "windows")
-    wins = pairs.select("win").distinct()
+    # windows with the items that have them: a document meets a window once, however many items share it
+    holders = _scratch.stored(pairs.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")), "holders")
+    n_wins, n_bytes = holders.agg(F.count("*"), F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", ",")))).first()
+    wins = holders.select("win")
     bodies = texts.join(N.small(found, found.count()), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     bodies = bodies.select("k1", "k2", words_of(F.col("body")).alias("w"))
     every = bodies.select("k1", "k2", F.explode(F.concat(*[windows("w", n) for n in sizes or [span]])).alias("x")).select("k1", "k2", "x.*")
-    hits = _scratch.stored(every.join(N.small(wins, pairs.count()), "win", "left_semi"), "hits")
+    hits = _scratch.stored(every.join(N.small(wins, n_wins, n_bytes), "win", "left_semi"), "hits")
     spans = hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("stop")))).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["to"], s["at"]))).alias("n"), F.greatest(a["to"], s["stop"]).alias("to")))
     spans = spans.select("k1", "k2", covered["n"].alias("n_hit"))
-    named = hits.select("k1", "k2", "win").distinct().join(N.small(pairs, pairs.count()), "win").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.count_distinct("item").alias("n_items"))
+    named = hits.select("k1", "k2", "win").distinct().join(N.small(holders, n_wins, n_bytes), "win").groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    named = named.withColumn("n_items", F.size("item_ids"))
     result = _scratch.stored(spans.join(named, ["k1", "k2"], "left"), "hit-texts")
     rows = _keyed(docs, text_col, F.col(id_col).alias("doc_id"))
     rows = rows.select("doc_id", "k1", "k2", F.size(words_of(F.col("body"))).cast("long").alias("n_words"))

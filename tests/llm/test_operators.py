@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import components, host_rules, jaccard, katz, line_dedup, packing, quality, suffix_dedup, url_rules, warc, winnow
 
@@ -441,6 +442,46 @@ def test_quality(spark):
     assert quality.rank(frame(spark, []), lab, remainder(5) == 0).collect() == []
 
 
+def plain_features(text):
+    """The numbers of quality.features, one text at a time in plain Python."""
+    if not text:
+        return [0.0] * quality.FEATURES
+    data = text.encode()
+    inside = lambda c: set(range(ord(c[0]), ord(c[2]) + 1)) if len(c) == 3 and c[1] == "-" else {ord(x) for x in c}
+    out = [sum(b in inside(c) for b in data) / len(data) for c in quality.CLASSES] + [sum(b >= 0xC0 for b in data) / len(data)]
+    w, lines = words_of(text), data.split(b"\n")
+    many, top = max(1, len(w)), max(Counter(w).values(), default=0)
+    out += [math.log1p(len(w)), len(data) / many, len(set(w)) / many, top / many, sum(a == b for a, b in zip(w, w[1:], strict=False)) / many]
+    ends = sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines)
+    return out + [math.log1p(len(lines)), len(set(lines)) / len(lines), ends / len(lines), len(w) / len(lines), math.log1p(top)]
+
+
+def test_quality_brute_force(spark):
+    """Scores of all rows, very long and tied ones too, from plain features and a fit by plain gradient steps."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" + ("$" if i % 3 == 0 and rng.random() < 0.4 else "") for _ in range(rng.randint(20, 90))) + "." * (i % 2), "s") for i in range(160)]
+    docs += [(500, "long text " * 300_000, "s"), (501, None, "s"), (502, "", "s"), (503, docs[5][1], "s"), (504, docs[5][1], "s"), (None, docs[6][1], "s"), docs[7]]
+    labels = [(i, int(i % 3 != 0), 0) for i in range(160)]
+    from spanforge.llm.queries import remainder
+
+    got = quality.rank(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), remainder(5) == 0).collect()
+    texts = {t: quality.features([(t or "").encode()])[0] for _, t, _ in docs}
+    for t, x in texts.items():
+        assert np.allclose(x, plain_features(t), rtol=1e-5, atol=1e-6)
+    hashed = {r.i: r.h for r in spark.range(160).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    sample = sorted((hashed[i], i, t) for i, t, _ in docs if i is not None and i < 160 and zlib.crc32(str(i).encode()) % 5)
+    x, y = np.array([texts[t] for _, _, t in sample]), np.array([int(i % 3 != 0) for _, i, _ in sample])
+    model = quality.fit(x, y, 0.3)
+    # the weights are the minimum of the pairwise loss: its gradient, of the start's size at weights of 0, is next to nothing there
+    z, draw = model.indicators(x), np.random.default_rng(quality.SEED)
+    d = z[draw.choice(np.flatnonzero(y == 1), quality.PAIRS)] - z[draw.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    assert np.abs(d.T @ (1 / (1 + np.exp(d @ model.weights))) - 10 * model.weights).max() < 0.01 * np.abs(d.T @ np.full(len(d), 0.5)).max()
+    strength = [sum(w for w, e, v in zip(model.weights.reshape(quality.FEATURES, -1).ravel(), model.edges.ravel(), np.repeat(texts[t], model.edges.shape[1]), strict=True) if v >= e) for _, t, _ in docs]
+    want = Counter((i, round(1 / (1 + math.exp(-model.slope * (s - model.threshold) - math.log(0.3 / 0.7))), 9)) for (i, _, _), s in zip(docs, strength, strict=True))
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == want
+    assert all(r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in got)
+
+
 def test_url_rules(spark):
     urls = ["http://Example.com/en/7x?q", "https://a.example.com/en/8", "com://com/en/", "http://notexample.com/en/71", "http://x.net/de/8", "http://a.example.net/de/81#f", "ftp://o.org/es", "http://o.org/es/", None, "", "no scheme", "http://x.com/EN/7", "http://example.com:80/en/7", "://com/en/?/x"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])]

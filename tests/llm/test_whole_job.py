@@ -46,7 +46,8 @@ def test_line_dedup_links_all_similar_lines(spark, folder, monkeypatch, size):
     seeds = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 5, 6, 7, 8, 9, 10, 10, 12, 15, 20, 24, 30, 40, 60, 100)]
     lines = [edited(rng, s, vocabulary, rng.randint(0, max(1, len(s) // 5))) for s in seeds for _ in range(8)]
     lines = [x for x in lines if len(x) >= 5]
-    got = {r.doc_id: r.text for r in queries.op6_line_dedup(spark, folder([(i, " ".join(x), "s") for i, x in enumerate(lines)])).collect()}
+    docs = spark.read.parquet(f"{folder([(i, ' '.join(x), 's') for i, x in enumerate(lines)])}/documents.parquet")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words=1, most_bits=None, most_keys=None).collect()}
     group = list(range(len(lines)))
     for a in range(len(lines)):
         for b in range(a):
@@ -58,6 +59,33 @@ def test_line_dedup_links_all_similar_lines(spark, folder, monkeypatch, size):
     assert [i for i in got if got[i]] and {i for i in got if got[i]} == set(group)
 
 
+def test_line_dedup_recall(spark, folder):
+    """Share of the linked pairs of lines that the query finds, by length and similarity, against edit similarity alone."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    word = lambda: vocabulary[min(int(rng.paretovariate(0.6)) - 1, 3999)] if rng.random() < 0.5 else rng.choice(vocabulary)
+    rows, classes = [], {}
+    for n in (5, 8, 11, 15, 20, 30, 50, 100, 200):
+        for similarity in (0.8, 0.9):
+            while sum(c == (n, similarity) for c in classes.values()) < 60:
+                a = [word() for _ in range(n)]
+                b = edited(rng, a, vocabulary, int((1 - similarity) * n + 1e-9))
+                most = max(len(a), len(b))
+                if a != b and 100 * (most - line_dedup.edit_distance(a, b)) >= 80 * most:
+                    classes[len(rows)] = (n, similarity)
+                    rows += [(len(rows), " ".join(a), "s"), (len(rows) + 1, " ".join(b), "s")]
+                elif int((1 - similarity) * n + 1e-9) == 0:
+                    break
+    got = {r.doc_id: r.text for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
+    found, total = Counter(), Counter()
+    for i, c in classes.items():
+        total[c] += 1
+        found[c] += got[i + 1] == ""
+    recall = {c: found[c] / total[c] for c in total}
+    assert len(recall) >= 14 and min(recall.values()) >= 0.9 and all(r == 1 for (n, _), r in recall.items() if n <= 11), recall
+    assert sum(found.values()) >= 0.98 * sum(total.values())
+
+
 def test_similar_lines_share_a_first_gram():
     """The bound behind the keys, whatever the common order, for lines of all lengths about the change of kinds."""
     rng = random.Random(8)
