@@ -99,9 +99,10 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, flag: object = None
 
 
 def _return_memory() -> None:
-    """Let the C library give arrays back to the system once they are freed, whatever their size; by
-    itself it keeps more and more of them for later."""
+    """Let the C library give arrays back to the system once they are freed, whatever their size, those of
+    Arrow too; by itself it keeps more and more of them for later."""
     try:
+        pa.set_memory_pool(pa.system_memory_pool())
         ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
     except (OSError, AttributeError):  # another C library
         return

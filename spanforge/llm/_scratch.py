@@ -32,8 +32,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/spanforge-{label}-{uuid.uuid4().hex}"
 
 
-#: While a table is written, shuffle files of its query go as soon as it is there, and not when the driver collects its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, rows go to Python in small batches, so that no task holds all its blocks at once; shuffle files of
+#: its query go as soon as it is there, and not when the driver collects its garbage.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> str:
@@ -47,15 +48,14 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> s
     )
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         writer.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return path
 
 
