@@ -25,8 +25,9 @@ def coverage(df: DataFrame, value: Column, parts: str = "parts") -> DataFrame:
     Neighbouring runs of equal depth stay apart where an interval starts or ends between them only if the
     depth changes there.
     """
-    p = F.explode(F.flatten(F.transform(parts, lambda x: F.array(F.struct(x["s"].alias("pos"), F.lit(1).alias("sign")), F.struct(x["e"].alias("pos"), F.lit(-1).alias("sign"))))))
-    each = df.select(*KEYS, value.alias("v"), p.alias("p")).select(*KEYS, F.col("p.pos").alias("pos"), (F.col("v") * F.col("p.sign")).alias("v"))
+    each = df.select(*KEYS, value.alias("v"), F.explode(parts).alias("p"))
+    both = F.array(F.struct(F.col("p.s").alias("pos"), F.col("v").alias("v")), F.struct(F.col("p.e").alias("pos"), (-F.col("v")).alias("v")))
+    each = each.select(*KEYS, F.explode(both).alias("x")).select(*KEYS, "x.pos", "x.v")
     steps = each.groupBy(*KEYS, F.floor(F.col("pos") / scan.BUCKET).alias("_b"), "pos").agg(F.sum("v").alias("v")).where("v <> 0").repartition(*KEYS, "_b")
     # depth and the next step inside a bucket; a row per bucket carries the depth in and the first step after
     own = Window.partitionBy(*KEYS, "_b").orderBy("pos")
