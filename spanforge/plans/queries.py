@@ -412,10 +412,9 @@ def spanning_depth(spark, d):
 
 @query(f"WITH {RD}, {GN} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN EXISTS (SELECT 1 FROM genes g WHERE {OVER2}) THEN 'Exonic' WHEN EXISTS (SELECT 1 FROM genes g WHERE r.ref = g.ref AND r.strand = g.strand AND s1 < ge AND gs < e2) THEN 'Intronic' ELSE 'Intergenic' END AS class FROM reads r")
 def exon_intron_class(spark, d):
-    r, g = V.reads(spark, d), V.genes(spark, d)
-    exonic = joins.overlap(r, g, "count", "any", count="n_exonic")
-    both = joins.overlap(exonic, g, "count", "bounds", count="n_genic")
-    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", program.exon_intron_class(F.col("n_exonic") > 0, F.col("n_genic") > 0).alias("class"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    both = joins.meets(V.reads(spark, d).select(*keys, "ref", "strand", "parts"), V.genes(spark, d))
+    return both.select(*keys, program.exon_intron_class(F.col("exonic"), F.col("genic")).alias("class"))
 
 
 @query(f"""WITH {RD}, {GN}, c AS (SELECT sum((r.strand = g.strand)::BIGINT) AS n_sense, sum((r.strand <> g.strand)::BIGINT) AS n_anti FROM reads r JOIN genes g ON r.ref = g.ref AND s1 < ge AND gs < e1)
