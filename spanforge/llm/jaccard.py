@@ -541,12 +541,14 @@ def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
     ``groups``: GROUP_SCHEMA; any two rows that link have a token in common for which the smaller is ``early``.
     ``sig``: (uid, sig, size). ``members`` sends the data of asked rows (tile, uid) as SENT_MEMBERS.
     """
+    spark = sig.sparkSession
     # sizes of a link differ by den / num at most, so they lie in one band or in two neighbouring ones
     band = F.floor(F.log("n") / max(math.log(rule.den / rule.num) * (1 + 1e-9), 1e-6)).cast("long")
     groups = _scratch.stored(groups.withColumn("band", band), "groups")
 
     def verified(pieces: DataFrame) -> DataFrame:
-        return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
+        with _scratch.passing(spark, "links"):
+            return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
 
     # first round: the smallest row of each band with the others of it
     heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("token", "band", F.col("first.uid").alias("hub"))
@@ -569,7 +571,8 @@ def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
 
     # further rounds: rows of different components, until all of their pairs are decided
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
-        comps = _scratch.stored(components(links), "components")
+        with _scratch.passing(spark, "components"):
+            comps = _scratch.stored(components(links), "components")
         labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "band", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
         placed = _families(labelled).join(sig.drop("size"), "uid")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("labels") - 1)).alias("o")

@@ -10,10 +10,8 @@ Two kinds of keys:
 * Word grams (``most_bits=None``): an edit spoils at most q of a line's grams of q words, so lines that are similar enough share
   one among the first few of each, in any common order. Lines of TRIPLES words or more have triples, shorter ones pairs;
   those that can be similar to a shorter one have both. A parity bitmap of the words takes the SimHash's place as filter; it
-  differs in at most two bits an edit. A line is sent under ``most_keys`` grams at most, those of the lowest hashes. Where that is as many as
-  edits can spoil and one more (up to 19 words, with the default) no pair is lost; of longer lines the grams are a sketch, in which two
-  lines of similarity 0.8 share one in some 99 of 100 cases, and nearly always at 0.9. Without the limit (None) no pair
-  is lost at any length, and rare grams come first.
+  differs in at most two bits an edit. A line is sent under as many grams as edits can spoil and one more, rare ones first, so no pair is lost at any
+  length. ``most_keys`` is a choice for those who can do with fewer: grams of the lowest hashes, a sketch that misses pairs of lines of 20 words or more.
 
 Lines under one key that the bits allow are verified by edit similarity over words, in the rounds of ``jaccard.linked_rows``.
 """
@@ -52,8 +50,6 @@ FREQUENT_GRAMS = 1 << 17
 SAMPLE_BLOCKS = 64
 #: Lines of so many words are keyed by word triples; at 0.8, ten words have eight of them and two edits spoil six.
 TRIPLES = 10
-#: Grams that a line is sent under.
-MOST_KEYS = 12
 
 LINE_SCHEMA = "uid long, doc_id long, line long, n long, h1 long, h2 long, sig array<long>"
 
@@ -355,14 +351,14 @@ def _removed(path: str, spread: bool):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, min_words: int = MIN_WORDS, num: int = 80, den: int = 100, most_bits: int | None = MOST_BITS, most_keys: int | None = MOST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, min_words: int = MIN_WORDS, num: int = 80, den: int = 100, most_bits: int | None = MOST_BITS, most_keys: int | None = None) -> DataFrame:
     """Per row of ``docs``: (doc_id, text without the removed lines, n_lines, n_removed), and a
     struct ``carry`` of further columns, if asked for.
 
     Lines end at newlines. Those of fewer than ``min_words`` words always stay. Two lines link when
     their SimHashes differ in at most ``most_bits`` (three or fewer) bits and the edit similarity of their words, 1 - distance
     / words of the longer, is at least ``num / den``; with ``most_bits`` None, lines of that edit
-    similarity link (it must then be at least 0.8) that share one of their first ``most_keys`` word grams, all with None. Null text counts as empty. Null ids come after all others;
+    similarity link (it must then be at least 0.8), all of them unless ``most_keys`` limits the word grams that a line is sent under. Null text counts as empty. Null ids come after all others;
     equal ids, as in repeated rows, are told apart by their rows' order. An empty table stays empty.
     """
     if most_bits is None and 5 * num < 4 * den or (most_bits or 0) > MOST_BITS:
@@ -370,33 +366,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks, n_bytes = B.block_table(docs, id_col, text_col, carry=carry)
     plain = blocks.select("bid", "doc_id", "flag", "lens", "data")
     parts = _scratch.partitions_for(docs.sparkSession, n_bytes)
-    lines = _scratch.stored(plain.mapInArrow(_describe(min_words, most_bits), LINE_SCHEMA), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "line")
-    distinct = lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.count("*").alias("times"))
-    distinct = _scratch.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
-    places = distinct.select("node", "first.uid", "first.line")
-
-    rule, hot, salts = edit_rule(num, den, most_bits), np.empty(0, U64), np.empty(0, np.int64)
-    if most_bits is None:
-        sent, hot, salts = _sent_grams(plain, places, num, den, most_keys, 2 * parts)
-    else:
-        sent = distinct.select("node", F.get("sig", F.lit(0)).alias("sim"), "n").mapInArrow(_keys(parts), B.SENT_SCHEMA)
-    groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(hot, salts, rule), GROUP_SCHEMA)
-
-    def members(asked: DataFrame) -> DataFrame:
-        at = asked.withColumnRenamed("uid", "node").join(places, "node").select("uid", "line", "node", "tile")
-        return plain.mapInArrow(_members(_side(at, "asked", parts)), SENT_MEMBERS)
-
-    sigs = distinct.select(F.col("node").alias("uid"), "sig", F.col("n").alias("size"))
-    links = linked_rows(groups, sigs, rule, members, parts)
-    comps = components(links)
-
-    named = distinct.join(comps, "node", "left").select("n", "h1", "h2", "first", "times", F.coalesce("component", "node").alias("comp"))
-    named = _scratch.stored(named, "line-groups")
-    kept = named.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("times").alias("all")).where("all > 1").select("comp", "kept")
-    loses = named.join(kept, "comp").select("n", "h1", "h2", "kept")
-    gone = lines.join(loses, ["n", "h1", "h2"]).where((F.col("uid") != F.col("kept.uid")) | (F.col("line") != F.col("kept.line"))).select("uid", "line")
-    path = _side(gone, "gone", parts)
+    with _scratch.passing(docs.sparkSession, "gone"):
+        lines = _scratch.stored(plain.mapInArrow(_describe(min_words, most_bits), LINE_SCHEMA), "lines")
+        place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "line")
+        distinct = lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.count("*").alias("times"))
+        distinct = _scratch.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
+        places = distinct.select("node", "first.uid", "first.line")
+
+        rule, hot, salts = edit_rule(num, den, most_bits), np.empty(0, U64), np.empty(0, np.int64)
+        if most_bits is None:
+            sent, hot, salts = _sent_grams(plain, places, num, den, most_keys, 2 * parts)
+        else:
+            sent = distinct.select("node", F.get("sig", F.lit(0)).alias("sim"), "n").mapInArrow(_keys(parts), B.SENT_SCHEMA)
+        groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(hot, salts, rule), GROUP_SCHEMA)
+
+        def members(asked: DataFrame) -> DataFrame:
+            at = asked.withColumnRenamed("uid", "node").join(places, "node").select("uid", "line", "node", "tile")
+            return plain.mapInArrow(_members(_side(at, "asked", parts)), SENT_MEMBERS)
+
+        sigs = distinct.select(F.col("node").alias("uid"), "sig", F.col("n").alias("size"))
+        with _scratch.passing(docs.sparkSession, "edges"):
+            comps = components(linked_rows(groups, sigs, rule, members, parts))
+
+        named = distinct.join(comps, "node", "left").select("n", "h1", "h2", "first", "times", F.coalesce("component", "node").alias("comp"))
+        named = _scratch.stored(named, "line-groups")
+        kept = named.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("times").alias("all")).where("all > 1").select("comp", "kept")
+        loses = named.join(kept, "comp").select("n", "h1", "h2", "kept")
+        gone = lines.join(loses, ["n", "h1", "h2"]).where((F.col("uid") != F.col("kept.uid")) | (F.col("line") != F.col("kept.line"))).select("uid", "line")
+        path = _side(gone, "gone", parts)
     schema = "doc_id long, text string, n_lines long, n_removed long"
     if carry:
         schema += ", carry " + blocks.schema["carry"].dataType.elementType.simpleString()

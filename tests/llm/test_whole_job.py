@@ -5,11 +5,13 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from spanforge.llm import jaccard, katz, line_dedup, queries, url_rules
+from spanforge.llm import _blocks, jaccard, katz, line_dedup, queries, url_rules
 
 
 @pytest.fixture
@@ -86,6 +88,28 @@ def test_line_dedup_recall(spark, folder):
     assert sum(found.values()) >= 0.98 * sum(total.values())
 
 
+def test_line_dedup_of_long_lines_is_whole(spark, folder):
+    """Lines of similarity 0.8 whose grams of the lowest hashes are spoiled, as any twelve can be: every pair is found, and no scratch table but texts and answers stays."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    rows = []
+    for i in range(120):
+        a = words(60)
+        data = np.frombuffer(" ".join([*a, ""]).encode(), np.uint8)
+        grams = line_dedup._Lines(_blocks.Block(0, pa.array([1]), np.array([False]), np.array([len(data) - 1]), data)).grams(3, np.arange(58))
+        b, spoiled = list(a), set()
+        for at in np.argsort(grams):  # its lowest grams go first, with twelve words
+            if len(spoiled) < 12 and not spoiled & set(range(at, at + 3)):
+                spoiled.add(int(at) + 1)
+                b[at + 1] = "x" + a[at + 1]
+        rows += [(2 * i, " ".join(a), "s"), (2 * i + 1, " ".join(b), "s")]
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in base.iterdir()}
+    got = {r.doc_id: r.text for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
+    assert all(got[2 * i] and not got[2 * i + 1] for i in range(120))
+    assert {p.name.split("-")[1] for p in base.iterdir() if p.name not in before} <= {"blocks", "gone"}
+
+
 def test_similar_lines_share_a_first_gram():
     """The bound behind the keys, whatever the common order, for lines of all lengths about the change of kinds."""
     rng = random.Random(8)
