@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanforge.llm import _blocks, jaccard, katz, line_dedup, queries, url_rules
+from spanforge.llm import _blocks, jaccard, katz, line_dedup, quality, queries, url_rules
 
 
 @pytest.fixture
@@ -224,3 +224,24 @@ def test_hashes_tell_thue_morse_words_apart(spark, folder):
             if count[x[p : p + 400]] > 1:
                 gone[p : p + 400] = b"\1" * 400
         assert got[i + 1] == sum(gone)
+
+
+def test_quality_learns_from_all_rows():
+    """Of 30,000 rows each has its say: the weights are the minimum of the loss of all pairs, edges and threshold those of all rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30_000, quality.FEATURES)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=len(x)) > 0.4).astype(int)
+    model = quality.fit(x, y, 0.3)
+    assert np.array_equal(model.edges, np.sort(np.concatenate([np.sort(x, axis=0)[np.floor((len(x) - 1) * np.arange(1, 10) / 10 + 0.5).astype(int)].T, np.sort(x[y == 0], axis=0)[np.floor(((y == 0).sum() - 1) * np.array([0.02, 0.98]) + 0.5).astype(int)].T], axis=1), axis=1))
+    z = model.indicators(x)
+    s = z @ model.weights
+    assert np.isclose(model.threshold, np.sort(s)[(y == 0).sum()], rtol=1e-6)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pull = np.zeros(len(x))
+    for i in range(0, len(good), 500):
+        p = 1 / (1 + np.exp(s[good[i : i + 500], None] - s[bad]))
+        pull[good[i : i + 500]] += p.sum(axis=1)
+        pull[bad] -= p.sum(axis=0)
+    scale = quality.PAIRS / len(good) / len(bad)
+    start = np.where(y == 1, len(bad), -len(good)) * 0.5
+    assert np.abs(scale * (z.T @ pull) - 10 * model.weights).max() < 0.002 * np.abs(scale * (z.T @ start)).max()
