@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from spanforge.llm import _blocks, jaccard, katz, line_dedup, quality, queries, url_rules
 
 
@@ -88,7 +89,7 @@ def test_line_dedup_recall(spark, folder):
     assert sum(found.values()) >= 0.98 * sum(total.values())
 
 
-def test_line_dedup_of_long_lines_is_whole(spark, folder):
+def test_line_dedup_of_long_lines_is_whole(spark, folder, tmp_path):
     """Lines of similarity 0.8 whose grams of the lowest hashes are spoiled, as any twelve can be: every pair is found, and no scratch table but texts and answers stays."""
     rng = random.Random(21)
     words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
@@ -107,6 +108,8 @@ def test_line_dedup_of_long_lines_is_whole(spark, folder):
     before = {p.name for p in base.iterdir()}
     got = {r.doc_id: r.text for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
     assert all(got[2 * i] and not got[2 * i + 1] for i in range(120))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()) == list(range(0, 240, 2))
     assert {p.name.split("-")[1] for p in base.iterdir() if p.name not in before} <= {"blocks", "gone"}
 
 
