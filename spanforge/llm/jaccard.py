@@ -207,8 +207,9 @@ def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule) -
     return alive
 
 
-def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None):
-    """Rows of windows that several sets have. Those of a ``hot`` window come under several keys. Where a
+def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None, plain: Callable | None = None):
+    """Rows of windows that several sets have. Those of a ``hot`` window come under several keys, or ``plain`` tells
+    keys without their salt and which have one. Where a
     word of bitmap comes with the rows, those that have no possible partner by ``rule`` in a group of a tile's size go."""
     salted = np.concatenate([np.empty(0, U64), *(_salted(np.full(int(n), w), np.arange(int(n))) for w, n in zip(hot, salts, strict=True))])
     true = np.repeat(hot, salts.astype(np.int64))
@@ -238,6 +239,9 @@ def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None):
             found = salted[at] == key
             kept |= found
             key = np.where(found, true[at], key)
+        if plain is not None:
+            key, found = plain(key)
+            kept |= found
         key, uid, size = key[kept], uid[order[kept]], size[order[kept]].astype(np.int64)
         for i in range(0, len(key), 1 << 17):
             at = slice(i, i + (1 << 17))

@@ -7,11 +7,10 @@ Two kinds of keys:
 
 * SimHash (``most_bits``): each distinct line gets a 64-bit SimHash of its distinct words. Two SimHashes that differ in at
   most three bits agree in three of six blocks, so lines are keyed by every three blocks.
-* Word grams (``most_bits=None``): an edit spoils at most q of a line's grams of q words, so lines that are similar enough share
-  one among the first few of each, in any common order. Lines of TRIPLES words or more have triples, shorter ones pairs;
-  those that can be similar to a shorter one have both. A parity bitmap of the words takes the SimHash's place as filter; it
-  differs in at most two bits an edit. A line is sent under as many grams as edits can spoil and one more, rare ones first, so no pair is lost at any
-  length. ``most_keys`` is a choice for those who can do with fewer: grams of the lowest hashes, a sketch that misses pairs of lines of 20 words or more.
+* Word pairs (``most_bits=None``): an edit spoils at most two of a line's pairs of neighbouring words, so lines that are similar enough
+  share one among the first few of each, in any common order. A parity bitmap of the words takes the SimHash's place as filter; it
+  differs in at most two bits an edit. A line is sent under as many pairs as edits can spoil and one more, rare ones first, so no pair of lines is lost
+  at any length. How rare they are is counted in cells of hashes, on a sample of blocks; counts order only.
 
 Lines under one key that the bits allow are verified by edit similarity over words, in the rounds of ``jaccard.linked_rows``.
 """
@@ -23,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from . import _blocks as B
 from . import _scratch
 from ._text import LOWER, Words, mix
 from .components import components
-from .jaccard import GROUP_SCHEMA, HOT_ROWS, SENT_MEMBERS, Rule, Wanted, _groups, _salted, _side, linked_rows
+from .jaccard import GROUP_SCHEMA, HOT_ROWS, SENT_MEMBERS, Rule, Wanted, _groups, _side, linked_rows
 
 U64 = np.uint64
 MIN_WORDS = 5
@@ -45,13 +45,16 @@ MASKS = [sum(((1 << _WIDTHS[i]) - 1) << _STARTS[i] for i in c) for c in combinat
 #: For each byte its bits, one to a byte of a word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64).reshape(-1)
 
-#: How many frequent word grams the common order knows, and of how many blocks. It orders only.
-FREQUENT_GRAMS = 1 << 17
-SAMPLE_BLOCKS = 64
-#: Lines of so many words are keyed by word triples; at 0.8, ten words have eight of them and two edits spoil six.
-TRIPLES = 10
+#: Cells of the table by which word pairs are ordered, and of how many blocks it counts the pairs. It orders only.
+CELL_BITS = 23
+SAMPLE_BLOCKS = 128
+#: Classes of a cell are steps of a logarithm; there are 32 at most.
+CLASSES_A_DOUBLING = 1.5
+#: Bits of a pair's hash that tell it from others, next to 5 of its class and 20 of a line. Pairs of equal bits count as one, which loses no pair of lines.
+KEY_BITS = 39
+SLICES = 16
 
-LINE_SCHEMA = "uid long, doc_id long, line long, n long, h1 long, h2 long, sig array<long>"
+LINE_SCHEMA = "node long, uid long, doc_id long, line long, n long, h1 long, h2 long, sig array<long>"
 
 
 class _Lines:
@@ -138,6 +141,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _describe(min_words: int, most_bits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for block in B.each_block(batches):
             lines = _Lines(block)
             rows = np.flatnonzero(lines.n >= min_words)
@@ -145,10 +149,11 @@ def _describe(min_words: int, most_bits: int | None):
             h1, h2 = lines.sequence_hashes()
             sig, bounds = lines.parity(rows) if most_bits is None else (lines.simhash(rows), np.arange(len(rows) + 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((block.bid << 22) + lines.doc[rows]), ids, pa.array(lines.line[rows]), pa.array(lines.n[rows]),
+                [pa.array(first + np.arange(len(rows))), pa.array((block.bid << 22) + lines.doc[rows]), ids, pa.array(lines.line[rows]), pa.array(lines.n[rows]),
                  _signed(h1[rows]), _signed(h2[rows]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(sig))],
-                names=["uid", "doc_id", "line", "n", "h1", "h2", "sig"],
+                names=["node", "uid", "doc_id", "line", "n", "h1", "h2", "sig"],
             )
+            first += len(rows)
 
     return run
 
@@ -169,24 +174,38 @@ def _keys(n_buckets: int):
 
 def _kinds(n: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
     """Lengths of grams, and which lines of ``n`` words are keyed by them."""
-    return [(3, n >= TRIPLES), (2, (n < TRIPLES) | (n * num < TRIPLES * den))]
+    return [(2, n >= 2)]
 
 
-def _often(num: int, den: int):
-    """Word grams that several lines of a block have."""
+def _counted(num: int, den: int):
+    """How many word pairs fall into each cell, in slices of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
         for block in B.each_block(batches):
             lines = _Lines(block)
-            row = np.repeat(np.arange(len(lines.n)), lines.n)
-            for q, keyed in _kinds(lines.n, num, den):
-                at = np.flatnonzero((row[q - 1 :] == row[: max(0, len(row) - q + 1)]) & keyed[row[q - 1 :]])
-                t, c = np.unique(lines.grams(q, at), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(t[c > 1]), pa.array(c[c > 1].astype(np.int64))], names=["token", "times"])
+            words = np.repeat(np.arange(len(lines.n)), lines.n)
+            at = np.flatnonzero((words[1:] == words[:-1]) & (_prefix(lines.n, num, den) > 0)[words[1:]])
+            count = np.zeros(1 << CELL_BITS, np.uint32) if count is None else count
+            count += np.bincount((lines.grams(2, at) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
+        if count is not None:
+            parts = np.split(count, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([B.planes(x) for x in parts], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A class for each cell, the higher the more pairs it has."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[i] = total.get(i, 0) + B.from_planes(counts, np.uint32).astype(np.int64)
+    for i, counts in total.items():
+        found = np.minimum(31, np.round(CLASSES_A_DOUBLING * np.log2(1 + counts))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([found.tobytes()], pa.binary())], names=["slice", "counts"])
+
+
 def _prefix(n: np.ndarray, num: int, den: int, q: int = 2) -> np.ndarray:
     """How many of its first grams of ``q`` words a line of ``n`` words is sent under: one more than edits to a
     line at least as similar as ``num / den`` can spoil. Of lengths that allow edits at all, others get none.
@@ -198,8 +217,10 @@ def _prefix(n: np.ndarray, num: int, den: int, q: int = 2) -> np.ndarray:
     return np.where((den - num) * longest >= den, q * (den - num) * n // den + 1, 0)
 
 
-def _gram_keys(path: str, frequent: np.ndarray, rank: np.ndarray, salts: np.ndarray, num: int, den: int, most: int | None, n_buckets: int):
-    """Send each distinct line under the first of its word grams. ``frequent`` is sorted; ``rank`` its order."""
+def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den: int, n_buckets: int):
+    """Send each distinct line under the first of its word pairs. ``classes`` has the class of each cell of hashes, ``salts`` over how
+    many keys the lines of a pair of each class are dealt."""
+    low = U64(64 - KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(path, ["slot", "line", "node"])
@@ -208,65 +229,76 @@ def _gram_keys(path: str, frequent: np.ndarray, rank: np.ndarray, salts: np.ndar
             if not len(slot):
                 continue
             lines = _Lines(block)
+            bound = _prefix(lines.n, num, den)
             nodes = np.full(len(lines.n), -1, np.int64)
             nodes[np.searchsorted(lines.doc, slot, "left") + line] = node
-            words = np.repeat(np.arange(len(lines.n)), lines.n)
-            keys, sent, sizes, bits, word = [], [], [], [], lines.parity_word()
-            for q, keyed in _kinds(lines.n, num, den):
-                last = words[q - 1 :]
-                at = np.flatnonzero((last == words[: max(0, len(words) - q + 1)]) & keyed[last] & (nodes[last] >= 0))
-                row, key = last[at], lines.grams(q, at)
-                if most is not None:
-                    # a sketch takes the lowest hashes; it must not prefer grams that only one of two similar lines has, as
-                    # the rare ones are. Hashes that are hardly among the lowest of a long line go before the sort
-                    low = key <= (np.minimum(1 - 2.0**-53, 3 * most / np.maximum(lines.n, 1)) * 2.0**64).astype(U64)[row]
-                    row, key = row[low], key[low]
-                    order = np.argsort(row.astype(U64) << U64(40) | key >> U64(24), kind="stable")
-                else:
-                    place = np.minimum(np.searchsorted(frequent, key), max(0, len(frequent) - 1))
-                    known = frequent[place] == key if len(frequent) else np.zeros(len(key), dtype=bool)
-                    weight = np.where(known, rank[place] + 1, 0) if len(frequent) else np.zeros(len(key), np.int64)
-                    order = np.lexsort((key, weight, row))
-                row, key = row[order], key[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(key)]
-                row, key = row[new], key[new]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                bound = _prefix(lines.n, num, den, q)
-                first = nth < (bound if most is None else np.minimum(bound, most))[row]
-                keys.append(key[first])
-                sent.append(nodes[row[first]])
-                sizes.append((2 * lines.n[row[first]] + 1).astype(np.uint32))
-                bits.append(word[row[first]])
-            key, node, size, word = np.concatenate(keys), np.concatenate(sent), np.concatenate(sizes), np.concatenate(bits)
-            if len(frequent):
-                place = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                hot = np.flatnonzero((frequent[place] == key) & (salts[place] > 1))
-                key[hot] = _salted(key[hot], mix(node[hot].astype(U64)) % salts[place[hot]].astype(U64))
+            asked = np.flatnonzero((nodes >= 0) & (bound > 0))
+            number = np.full(len(lines.n), -1, np.int64)
+            number[asked] = np.arange(len(asked))
+            words = np.repeat(number, lines.n)
+            at = np.flatnonzero((words[1:] == words[:-1]) & (words[1:] >= 0))
+            row, hashed = words[1:][at], lines.grams(2, at)
+            order = classes[(hashed >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(KEY_BITS) | hashed >> low
+            keys, rows = [], []
+            for i in range(0, max(1, len(asked)), 1 << 20):
+                a, b = np.searchsorted(row, (i, i + (1 << 20)))
+                both = (row[a:b] - i).astype(U64) << U64(KEY_BITS + 5) | order[a:b]
+                both.sort()
+                both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+                of = (both >> U64(KEY_BITS + 5)).astype(np.int64)
+                first = np.arange(len(of)) - np.searchsorted(of, of) < bound[asked[of + i]]
+                keys.append(both[first])
+                rows.append(of[first] + i)
+            key, row = np.concatenate(keys), asked[np.concatenate(rows)]
+            rank = (key >> U64(KEY_BITS) & U64(31)).astype(np.int64)
+            key = key << low
+            hot = np.flatnonzero(salts[rank] > 1)
+            salt = mix(nodes[row[hot]].astype(U64)) % salts[rank[hot]].astype(U64) + U64(1)
+            key[hot] = _turned(key[hot], salt) | salt
             order = np.argsort(key, kind="stable")
-            yield from B.sent_rows(block.bid, key[order], [node[order], size[order], word[order]], n_buckets)
+            row = row[order]
+            word = lines.parity_word()
+            yield from B.sent_rows(block.bid, key[order], [nodes[row], (2 * lines.n[row] + 1).astype(np.uint32), word[row]], n_buckets)
 
     return run
 
 
-def _sent_grams(blocks: DataFrame, places: DataFrame, num: int, den: int, most: int | None, parts: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The distinct lines under their word grams, and the grams that come under several keys. ``places``: (node, uid, line)."""
+def _turned(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Keys of one pair go to other buckets by their salt, which stands in the bits below the pair's; turned again, a key is as before."""
+    shift = U64(64 - KEY_BITS)
+    return key ^ np.where(salt > 0, mix(salt) >> shift << shift, U64(0))
+
+
+def _plain(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys without their salt, and which have one."""
+    salt = key & U64((1 << (64 - KEY_BITS)) - 1)
+    return _turned(key ^ salt, salt), salt > 0
+
+
+def _sent_grams(blocks: DataFrame, places: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """The distinct lines under their word pairs. ``places``: (node, uid, line)."""
     every = max(1, blocks.select("bid").count() // SAMPLE_BLOCKS)
     sample = blocks.where(F.pmod(F.xxhash64("bid"), F.lit(every)) == 0)
-    often = sample.mapInArrow(_often(num, den), "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT_GRAMS).toArrow()
-    token = often.column("token").to_numpy().view(U64)
-    order = np.argsort(token)
-    frequent, salts = token[order], -(-often.column("times").to_numpy()[order] * every // HOT_ROWS)
+    schema = "slice long, counts binary"
+    slices = sample.mapInArrow(_counted(num, den), schema).repartition(SLICES, "slice").mapInArrow(_classes, schema).toArrow().to_pylist()
+    classes = np.zeros(1 << CELL_BITS, np.uint8)
+    for x in slices:
+        classes.reshape(SLICES, -1)[x["slice"]] = np.frombuffer(x["counts"], np.uint8)
+    salts = np.ceil(2 ** (np.arange(32) / CLASSES_A_DOUBLING) * every / HOT_ROWS).astype(np.int64)
     path = _side(places.select("uid", "line", "node"), "asked-lines", parts)
-    sent = blocks.mapInArrow(_gram_keys(path, frequent, len(token) - 1 - order, salts, num, den, most, parts), B.SENT_SCHEMA)
-    return sent, frequent[salts > 1], salts[salts > 1]
-
-
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, by bit vectors of the shorter one's length."""
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    return blocks.mapInArrow(_gram_keys(path, classes, salts, num, den, parts), B.SENT_SCHEMA)
+
+
+def edit_distance(a: list, b: list, most: int | None = None) -> int:
+    """Levenshtein distance of two sequences, by bit vectors of the shorter one's length. Where it is more than ``most``, any
+    number beyond that may come back."""
+    i, most_equal = 0, min(len(a), len(b))
+    while i < most_equal and a[i] == b[i]:
+        i += 1
+    a, b, most_equal, i = a[i:], b[i:], most_equal - i, 0
+    while i < most_equal and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -276,7 +308,12 @@ def edit_distance(a: list, b: list) -> int:
         where[x] = where.get(x, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)  # vertical steps of +1 and -1
+    # each word that is left lowers the score by one at most
+    stop = len(b) + (len(a) + len(b) if most is None else most)
     for x in b:
+        if score > stop:
+            break
+        stop -= 1
         same = where.get(x, 0)
         diagonal = ((same & up) + up ^ up) | same | down
         right_up, right_down = down | ~(diagonal | up) & full, up & diagonal
@@ -286,6 +323,18 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
+def _surplus(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of the longer sequence that have no equal in the other one, each used once; each of them takes an edit."""
+    if len(a) > len(b):
+        a, b = b, a
+    words = np.concatenate([a, b])
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+    more = np.add.reduceat((order >= len(a)) * 2 - 1, head)
+    return int(more[more > 0].sum())
+
+
 def edit_rule(num: int, den: int, most_bits: int | None) -> Rule:
     """Lines whose edit similarity over words, 1 - distance / words of the longer, is at least ``num / den``."""
 
@@ -296,8 +345,10 @@ def edit_rule(num: int, den: int, most_bits: int | None) -> Rule:
         return differ <= 2 * edits - (m - n)
 
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
-        most = max(len(a), len(b))
-        return den * (most - edit_distance(a.tolist(), b.tolist())) >= num * most
+        most = (den - num) * max(len(a), len(b)) // den
+        if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+            return True
+        return _surplus(a, b) <= most and edit_distance(a.tolist(), b.tolist(), most) <= most
 
     return Rule(num, den, possible, linked)
 
@@ -351,16 +402,18 @@ def _removed(path: str, spread: bool):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, min_words: int = MIN_WORDS, num: int = 80, den: int = 100, most_bits: int | None = MOST_BITS, most_keys: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, min_words: int = MIN_WORDS, num: int = 80, den: int = 100, most_bits: int | None = MOST_BITS, most_keys: None = None) -> DataFrame:
     """Per row of ``docs``: (doc_id, text without the removed lines, n_lines, n_removed), and a
     struct ``carry`` of further columns, if asked for.
 
     Lines end at newlines. Those of fewer than ``min_words`` words always stay. Two lines link when
     their SimHashes differ in at most ``most_bits`` (three or fewer) bits and the edit similarity of their words, 1 - distance
     / words of the longer, is at least ``num / den``; with ``most_bits`` None, lines of that edit
-    similarity link (it must then be at least 0.8), all of them unless ``most_keys`` limits the word grams that a line is sent under. Null text counts as empty. Null ids come after all others;
+    similarity link (it must then be at least 0.8), all of them: there is no limit to keys, ``most_keys`` must be None. Null text counts as empty. Null ids come after all others;
     equal ids, as in repeated rows, are told apart by their rows' order. An empty table stays empty.
     """
+    if most_keys is not None:
+        raise ValueError("a limit to keys would lose pairs")
     if most_bits is None and 5 * num < 4 * den or (most_bits or 0) > MOST_BITS:
         raise ValueError("keys don't reach so far")
     blocks, n_bytes = B.block_table(docs, id_col, text_col, carry=carry)
@@ -368,17 +421,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = _scratch.partitions_for(docs.sparkSession, n_bytes)
     with _scratch.passing(docs.sparkSession, "gone"):
         lines = _scratch.stored(plain.mapInArrow(_describe(min_words, most_bits), LINE_SCHEMA), "lines")
-        place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "line")
+        place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "line", "node")
         distinct = lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.count("*").alias("times"))
-        distinct = _scratch.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
+        distinct = _scratch.stored(distinct.withColumn("node", F.col("first.node")), "distinct-lines")
         places = distinct.select("node", "first.uid", "first.line")
 
-        rule, hot, salts = edit_rule(num, den, most_bits), np.empty(0, U64), np.empty(0, np.int64)
+        rule = edit_rule(num, den, most_bits)
         if most_bits is None:
-            sent, hot, salts = _sent_grams(plain, places, num, den, most_keys, 2 * parts)
+            sent = _sent_grams(plain, places, num, den, 2 * parts)
         else:
             sent = distinct.select("node", F.get("sig", F.lit(0)).alias("sim"), "n").mapInArrow(_keys(parts), B.SENT_SCHEMA)
-        groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(hot, salts, rule), GROUP_SCHEMA)
+        groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(np.empty(0, U64), np.empty(0, np.int64), rule, _plain if most_bits is None else None), GROUP_SCHEMA)
 
         def members(asked: DataFrame) -> DataFrame:
             at = asked.withColumnRenamed("uid", "node").join(places, "node").select("uid", "line", "node", "tile")

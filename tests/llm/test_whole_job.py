@@ -248,3 +248,32 @@ def test_quality_learns_from_all_rows():
     scale = quality.PAIRS / len(good) / len(bad)
     start = np.where(y == 1, len(bad), -len(good)) * 0.5
     assert np.abs(scale * (z.T @ pull) - 10 * model.weights).max() < 0.002 * np.abs(scale * (z.T @ start)).max()
+
+
+def test_line_keys_grow_with_edits():
+    """A line is sent under two keys an edit and one more, and no limit to keys can be set."""
+    n = np.array([5, 9, 10, 12, 100, 1000])
+    keys = sum(np.where(keyed, line_dedup._prefix(n, 80, 100, q), 0) for q, keyed in line_dedup._kinds(n, 80, 100))
+    assert keys.tolist() == [3, 4, 5, 5, 41, 401]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(None, most_bits=None, most_keys=12)
+
+
+def test_edit_distance_with_a_limit():
+    rng = random.Random(3)
+    rule = line_dedup.edit_rule(80, 100, None)
+    for _ in range(3000):
+        a, b = ([rng.randrange(3) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        d = line_dedup.edit_distance(a, b)
+        assert all((line_dedup.edit_distance(a, b, most) <= most) == (d <= most) for most in (0, 1, 3, 6))
+        longer = max(len(a), len(b))
+        assert rule.linked(np.array(a, np.uint64), np.array(b, np.uint64)) == (100 * (longer - d) >= 80 * longer)
+
+
+def test_salted_line_keys_come_back():
+    """Keys of a frequent word pair are dealt out by salt and are one pair again afterwards."""
+    shift = np.uint64(64 - line_dedup.KEY_BITS)
+    key = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift << shift
+    salt = np.arange(199, dtype=np.uint64) % np.uint64(7)
+    got, found = line_dedup._plain(line_dedup._turned(key, salt) | salt)
+    assert (got == key).all() and (found == (salt > 0)).all()
