@@ -51,6 +51,8 @@ HUB_ROWS = 512
 #: Rows of a group up to which groups of one size are looked at together.
 SMALL_GROUP = 12
 _SLOT = 22
+#: Place of a token that a row has several times, or too far behind to tell.
+NO_PLACE = (1 << 16) - 1
 
 SET_SCHEMA = "uid long, doc_id long, n long, f1 long, f2 long, sig array<long>, frequent array<long>, times array<long>"
 GROUP_SCHEMA = "token long, uid long, n long, early boolean"
@@ -59,12 +61,14 @@ PIECE_SCHEMA = "tile long, uids array<long>, pairs binary, partial boolean"
 
 class Rule(NamedTuple):
     """When two rows of sizes n <= m link: ``num / den`` bounds n / m from below; ``possible(n, m, differ)`` tells for
-    arrays or columns whether bitmaps that differ in so many bits allow a link; ``linked`` decides on the data of two rows."""
+    arrays or columns whether bitmaps that differ in so many bits allow a link; ``linked`` decides on the data of two rows.
+    Where rows are sequences, ``placed(m, apart)`` tells whether the parts before and behind their common token may differ by ``apart`` in length."""
 
     num: int
     den: int
     possible: Callable
     linked: Callable[[np.ndarray, np.ndarray], bool]
+    placed: Callable | None = None
 
 
 def jaccard_rule(num: int, den: int) -> Rule:
@@ -179,17 +183,25 @@ def _prefixes(k: int, num: int, den: int, reps: str, frequent: np.ndarray, rank:
     return run
 
 
-def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule) -> np.ndarray:
-    """For rows sorted by group, whether sizes and one word of bitmap allow a link with another row of it;
-    true for all rows of groups of more than TILE_ROWS."""
+def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule, place: np.ndarray | None = None, comp: np.ndarray | None = None) -> np.ndarray:
+    """For rows sorted by group, whether sizes, one word of bitmap and the token's places, if given, allow a link with another row of it,
+    one of another component, if these are given; true for all rows of groups of more than TILE_ROWS, but for those of one component."""
     alive = np.zeros(len(group), dtype=bool)
     head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(group)))
-    alive[np.repeat(size > TILE_ROWS, size)] = True
+    if comp is not None and len(head):
+        mixed = np.minimum.reduceat(comp, head) < np.maximum.reduceat(comp, head)
+        head, size = head[mixed], size[mixed]
+    for start, s in zip(head[size > TILE_ROWS].tolist(), size[size > TILE_ROWS].tolist(), strict=True):
+        alive[start : start + s] = True
 
     def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        return (large * rule.num <= small * rule.den) & rule.possible(small, large, np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64))
+        ok = (large * rule.num <= small * rule.den) & rule.possible(small, large, np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64))
+        if place is not None:
+            x, y = place[a], place[b]
+            ok &= (x == NO_PLACE) | (y == NO_PLACE) | rule.placed(large, np.abs(x - y) + np.abs((n[a] - x) - (n[b] - y)))
+        return ok if comp is None else ok & (comp[a] != comp[b])
 
     for s in range(2, SMALL_GROUP + 1):  # all groups of one size at a time
         first = head[size == s]
@@ -210,21 +222,20 @@ def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule) -
 def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None, plain: Callable | None = None):
     """Rows of windows that several sets have. Those of a ``hot`` window come under several keys, or ``plain`` tells
     keys without their salt and which have one. Where a
-    word of bitmap comes with the rows, those that have no possible partner by ``rule`` in a group of a tile's size go."""
+    word of bitmap comes with the rows, those that have no possible partner by ``rule`` in a group of a tile's size go; the token's
+    place and the row's component (xor the row) may follow it."""
     salted = np.concatenate([np.empty(0, U64), *(_salted(np.full(int(n), w), np.arange(int(n))) for w, n in zip(hot, salts, strict=True))])
     true = np.repeat(hot, salts.astype(np.int64))
     order = np.argsort(salted)
     salted, true = salted[order], true[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, uids, sizes, words = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, U64)]
+        keys, uids, sizes, words, places, comps = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, U64)], [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
         for batch in batches:
             for i in range(batch.num_rows):
                 keys.append(B.unpack_keys(batch.column(2)[i].as_py()))
-                a, b, *bits = batch.column(3)[i].as_py()
-                uids.append(B.from_planes(a, np.int64))
-                sizes.append(B.from_planes(b, np.uint32))
-                words += [B.from_planes(x, U64) for x in bits]
+                for x, held in zip(batch.column(3)[i].as_py(), (uids, sizes, words, places, comps)):  # noqa: B905
+                    held.append(B.from_planes(x, held[0].dtype))
         key, uid, size = np.concatenate(keys), np.concatenate(uids), np.concatenate(sizes)
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -233,7 +244,10 @@ def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None, plain:
         kept = same[:-1] | same[1:]
         if rule is not None:
             rows = np.flatnonzero(kept)
-            kept[rows] = _partnered(key[rows], (size[order[rows]] >> 1).astype(np.int64), np.concatenate(words)[order[rows]], rule)
+            at = order[rows]
+            place = np.concatenate(places)[at].astype(np.int64) if len(places) > 1 else None
+            comp = uid[at] ^ np.concatenate(comps)[at] if len(comps) > 1 else None
+            kept[rows] = _partnered(key[rows], (size[at] >> 1).astype(np.int64), np.concatenate(words)[at], rule, place, comp)
         if len(salted):
             at = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
             found = salted[at] == key
@@ -545,16 +559,23 @@ def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
     ``groups``: GROUP_SCHEMA; any two rows that link have a token in common for which the smaller is ``early``.
     ``sig``: (uid, sig, size). ``members`` sends the data of asked rows (tile, uid) as SENT_MEMBERS.
     """
-    spark = sig.sparkSession
-    # sizes of a link differ by den / num at most, so they lie in one band or in two neighbouring ones
+    groups = banded(groups, rule)
+    return further_links(first_links(groups, sig, rule, members, parts), groups, sig, rule, members, parts)
+
+
+def banded(groups: DataFrame, rule: Rule) -> DataFrame:
+    """Stored groups with their rows' bands. Sizes of a link differ by den / num at most, so they lie in one band or in two neighbouring ones."""
     band = F.floor(F.log("n") / max(math.log(rule.den / rule.num) * (1 + 1e-9), 1e-6)).cast("long")
-    groups = _scratch.stored(groups.withColumn("band", band), "groups")
+    return _scratch.stored(groups.withColumn("band", band), "groups")
+
 
-    def verified(pieces: DataFrame) -> DataFrame:
-        with _scratch.passing(spark, "links"):
-            return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
+def _verified(pieces: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    with _scratch.passing(pieces.sparkSession, "links"):
+        return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
 
-    # first round: the smallest row of each band with the others of it
+
+def first_links(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Links of the smallest row of each band of a group with the others of it."""
     heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("token", "band", F.col("first.uid").alias("hub"))
     pairs = groups.join(heads, ["token", "band"]).where("hub <> uid").select("hub", "uid").distinct()
     pairs = pairs.join(sig, "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
@@ -571,9 +592,12 @@ def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
     salt = F.abs(F.xxhash64("uid") % F.col("tiles"))
     pieces = pairs.join(hubs, "hub").groupBy("hub", salt.alias("salt")).agg(F.collect_list("uid").alias("uids"))
     pieces = pieces.select(F.shiftrightunsigned(F.xxhash64("hub", "salt"), 1).alias("tile"), F.concat(F.array("hub"), "uids").alias("uids"), F.lit(None).cast("binary").alias("pairs"))
-    links = verified(_scratch.stored(pieces, "pieces"))
+    return _verified(_scratch.stored(pieces, "pieces"), rule, members, parts)
+
 
-    # further rounds: rows of different components, until all of their pairs are decided
+def further_links(links: DataFrame, groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """``links`` and those between rows of different components, in rounds until all pairs of one group are decided."""
+    spark = sig.sparkSession
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
         with _scratch.passing(spark, "components"):
             comps = _scratch.stored(components(links), "components")
@@ -585,7 +609,7 @@ def linked_rows(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
         pieces = _scratch.stored(placed.mapInArrow(_tile(rule, limit), PIECE_SCHEMA), "pieces")
         if pieces.isEmpty():
             break
-        links = links.union(verified(pieces))
+        links = links.union(_verified(pieces, rule, members, parts))
         if pieces.where("partial").isEmpty():
             break
     return links

@@ -12,12 +12,15 @@ Two kinds of keys:
   differs in at most two bits an edit. A line is sent under as many pairs as edits can spoil and one more, rare ones first, so no pair of lines is lost
   at any length. How rare they are is counted in cells of hashes, on a sample of blocks; counts order only.
 
-Lines under one key that the bits allow are verified by edit similarity over words, in the rounds of ``jaccard.linked_rows``.
+Lines under one key that the bits allow are verified by edit similarity over words, in the rounds of ``jaccard.linked_rows``. Word pairs go
+in two passes: a few keys of each line join most of what is similar into components; then all keys are sent along with the component, and the task that
+gathers a key passes on those lines only that may link with one of another component. The first of the pairs that no edit spoils is
+a key of both lines, so the parts before and behind it differ in length by no more than the edits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +33,7 @@ from . import _blocks as B
 from . import _scratch
 from ._text import LOWER, Words, mix
 from .components import components
-from .jaccard import GROUP_SCHEMA, HOT_ROWS, SENT_MEMBERS, Rule, Wanted, _groups, _side, linked_rows
+from .jaccard import GROUP_SCHEMA, HOT_ROWS, NO_PLACE, SENT_MEMBERS, Rule, Wanted, _groups, _side, banded, first_links, further_links, linked_rows
 
 U64 = np.uint64
 MIN_WORDS = 5
@@ -53,6 +56,8 @@ CLASSES_A_DOUBLING = 1.5
 #: Bits of a pair's hash that tell it from others, next to 5 of its class and 20 of a line. Pairs of equal bits count as one, which loses no pair of lines.
 KEY_BITS = 39
 SLICES = 16
+#: Keys of a line in the first pass. They join most copies early; the second pass takes all keys.
+FIRST_KEYS = 4
 
 LINE_SCHEMA = "node long, uid long, doc_id long, line long, n long, h1 long, h2 long, sig array<long>"
 
@@ -217,21 +222,23 @@ def _prefix(n: np.ndarray, num: int, den: int, q: int = 2) -> np.ndarray:
     return np.where((den - num) * longest >= den, q * (den - num) * n // den + 1, 0)
 
 
-def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den: int, n_buckets: int):
-    """Send each distinct line under the first of its word pairs. ``classes`` has the class of each cell of hashes, ``salts`` over how
-    many keys the lines of a pair of each class are dealt."""
+def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den: int, n_buckets: int, first_pass: bool):
+    """Send each distinct line under the first of its word pairs, in the first pass under a few of these. ``classes`` has the class of each cell
+    of hashes, ``salts`` over how many keys the lines of a pair of each class are dealt."""
     low = U64(64 - KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Wanted(path, ["slot", "line", "node"])
+        wanted = Wanted(path, ["slot", "line", "node", "comp"])
         for block in B.each_block(batches):
-            slot, line, node = wanted.of(block.bid)
+            slot, line, node, comp = wanted.of(block.bid)
             if not len(slot):
                 continue
             lines = _Lines(block)
             bound = _prefix(lines.n, num, den)
-            nodes = np.full(len(lines.n), -1, np.int64)
-            nodes[np.searchsorted(lines.doc, slot, "left") + line] = node
+            bound = np.minimum(bound, FIRST_KEYS) if first_pass else bound
+            nodes, comps = np.full(len(lines.n), -1, np.int64), np.full(len(lines.n), -1, np.int64)
+            at = np.searchsorted(lines.doc, slot, "left") + line
+            nodes[at], comps[at] = node, comp
             asked = np.flatnonzero((nodes >= 0) & (bound > 0))
             number = np.full(len(lines.n), -1, np.int64)
             number[asked] = np.arange(len(asked))
@@ -239,17 +246,22 @@ def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den:
             at = np.flatnonzero((words[1:] == words[:-1]) & (words[1:] >= 0))
             row, hashed = words[1:][at], lines.grams(2, at)
             order = classes[(hashed >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(KEY_BITS) | hashed >> low
-            keys, rows = [], []
+            keys, rows, places = [], [], []
             for i in range(0, max(1, len(asked)), 1 << 20):
                 a, b = np.searchsorted(row, (i, i + (1 << 20)))
                 both = (row[a:b] - i).astype(U64) << U64(KEY_BITS + 5) | order[a:b]
-                both.sort()
-                both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+                by = np.argsort(both)
+                both = both[by]
+                head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else by
+                times = np.diff(np.append(head, len(both)))
+                both, by = both[head], by[head]
                 of = (both >> U64(KEY_BITS + 5)).astype(np.int64)
-                first = np.arange(len(of)) - np.searchsorted(of, of) < bound[asked[of + i]]
+                first = np.flatnonzero(np.arange(len(of)) - np.searchsorted(of, of) < bound[asked[of + i]])
                 keys.append(both[first])
                 rows.append(of[first] + i)
-            key, row = np.concatenate(keys), asked[np.concatenate(rows)]
+                place = at[a:b][by[first]] - lines.bounds[asked[rows[-1]]]
+                places.append(np.where(times[first] > 1, NO_PLACE, np.minimum(place, NO_PLACE)).astype(np.uint16))
+            key, row, place = np.concatenate(keys), asked[np.concatenate(rows)], np.concatenate(places)
             rank = (key >> U64(KEY_BITS) & U64(31)).astype(np.int64)
             key = key << low
             hot = np.flatnonzero(salts[rank] > 1)
@@ -257,8 +269,10 @@ def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den:
             key[hot] = _turned(key[hot], salt) | salt
             order = np.argsort(key, kind="stable")
             row = row[order]
-            word = lines.parity_word()
-            yield from B.sent_rows(block.bid, key[order], [nodes[row], (2 * lines.n[row] + 1).astype(np.uint32), word[row]], n_buckets)
+            extra = [nodes[row], (2 * lines.n[row] + 1).astype(np.uint32), lines.parity_word()[row], place[order]]
+            if not first_pass:
+                extra.append(nodes[row] ^ comps[row])
+            yield from B.sent_rows(block.bid, key[order], extra, n_buckets)
 
     return run
 
@@ -275,8 +289,8 @@ def _plain(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _turned(key ^ salt, salt), salt > 0
 
 
-def _sent_grams(blocks: DataFrame, places: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """The distinct lines under their word pairs. ``places``: (node, uid, line)."""
+def _order(blocks: DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each cell of word pairs, and over how many keys the lines of a pair of each class are dealt."""
     every = max(1, blocks.select("bid").count() // SAMPLE_BLOCKS)
     sample = blocks.where(F.pmod(F.xxhash64("bid"), F.lit(every)) == 0)
     schema = "slice long, counts binary"
@@ -284,9 +298,26 @@ def _sent_grams(blocks: DataFrame, places: DataFrame, num: int, den: int, parts:
     classes = np.zeros(1 << CELL_BITS, np.uint8)
     for x in slices:
         classes.reshape(SLICES, -1)[x["slice"]] = np.frombuffer(x["counts"], np.uint8)
-    salts = np.ceil(2 ** (np.arange(32) / CLASSES_A_DOUBLING) * every / HOT_ROWS).astype(np.int64)
-    path = _side(places.select("uid", "line", "node"), "asked-lines", parts)
-    return blocks.mapInArrow(_gram_keys(path, classes, salts, num, den, parts), B.SENT_SCHEMA)
+    return classes, np.ceil(2 ** (np.arange(32) / CLASSES_A_DOUBLING) * every / HOT_ROWS).astype(np.int64)
+
+
+def _pair_links(blocks: DataFrame, places: DataFrame, sigs: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Links that span all components of the distinct lines, by their word pairs. ``places``: (node, uid, line)."""
+    spark = places.sparkSession
+    classes, salts = _order(blocks, rule.num, rule.den)
+
+    def groups(named: DataFrame, first_pass: bool) -> DataFrame:
+        path = _side(named.select("uid", "line", "node", "comp"), "asked-lines", parts)
+        sent = blocks.mapInArrow(_gram_keys(path, classes, salts, rule.num, rule.den, 2 * parts, first_pass), B.SENT_SCHEMA)
+        return banded(sent.repartition(2 * parts, "bucket").mapInArrow(_groups(np.empty(0, U64), np.empty(0, np.int64), rule, _plain), GROUP_SCHEMA), rule)
+
+    with _scratch.passing(spark, "links"):
+        links = first_links(groups(places.withColumn("comp", F.col("node")), True), sigs, rule, members, parts)
+    with _scratch.passing(spark, "groups"):
+        comps = components(links).withColumnRenamed("node", "of")
+        named = places.join(comps, places["node"] == comps["of"], "left").withColumn("comp", F.coalesce("component", "node"))
+        rest = groups(named, False)
+    return further_links(links, rest, sigs, rule, members, parts)
 
 
 def edit_distance(a: list, b: list, most: int | None = None) -> int:
@@ -350,7 +381,10 @@ def edit_rule(num: int, den: int, most_bits: int | None) -> Rule:
             return True
         return _surplus(a, b) <= most and edit_distance(a.tolist(), b.tolist(), most) <= most
 
-    return Rule(num, den, possible, linked)
+    def placed(m, apart):
+        return apart <= (den - num) * m // den
+
+    return Rule(num, den, possible, linked, placed)
 
 
 def _members(path: str):
@@ -427,11 +461,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         places = distinct.select("node", "first.uid", "first.line")
 
         rule = edit_rule(num, den, most_bits)
-        if most_bits is None:
-            sent = _sent_grams(plain, places, num, den, 2 * parts)
-        else:
-            sent = distinct.select("node", F.get("sig", F.lit(0)).alias("sim"), "n").mapInArrow(_keys(parts), B.SENT_SCHEMA)
-        groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(np.empty(0, U64), np.empty(0, np.int64), rule, _plain if most_bits is None else None), GROUP_SCHEMA)
 
         def members(asked: DataFrame) -> DataFrame:
             at = asked.withColumnRenamed("uid", "node").join(places, "node").select("uid", "line", "node", "tile")
@@ -439,7 +468,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         sigs = distinct.select(F.col("node").alias("uid"), "sig", F.col("n").alias("size"))
         with _scratch.passing(docs.sparkSession, "edges"):
-            comps = components(linked_rows(groups, sigs, rule, members, parts))
+            if most_bits is None:
+                links = _pair_links(plain, places, sigs, rule, members, parts)
+            else:
+                sent = distinct.select("node", F.get("sig", F.lit(0)).alias("sim"), "n").mapInArrow(_keys(parts), B.SENT_SCHEMA)
+                groups = sent.repartition(2 * parts, "bucket").mapInArrow(_groups(np.empty(0, U64), np.empty(0, np.int64), rule), GROUP_SCHEMA)
+                links = linked_rows(groups, sigs, rule, members, parts)
+            comps = components(links)
 
         named = distinct.join(comps, "node", "left").select("n", "h1", "h2", "first", "times", F.coalesce("component", "node").alias("comp"))
         named = _scratch.stored(named, "line-groups")
