@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -56,7 +57,7 @@ NO_PLACE = (1 << 16) - 1
 
 SET_SCHEMA = "uid long, doc_id long, n long, f1 long, f2 long, sig array<long>, frequent array<long>, times array<long>"
 GROUP_SCHEMA = "token long, uid long, n long, early boolean"
-PIECE_SCHEMA = "tile long, uids array<long>, pairs binary, partial boolean"
+PIECE_SCHEMA = "tile long, family long, uids array<long>, pairs binary, partial boolean"
 
 
 class Rule(NamedTuple):
@@ -407,7 +408,7 @@ def _tile(rule: Rule, limit: int | None):
         family, ti, tj, t, uid, n, early, upper, comp, lengths = cols
         bitmaps = _Bitmaps(words, lengths)
         head = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])))
-        small: list[tuple[int, np.ndarray, np.ndarray]] = []
+        small: list[tuple] = []
 
         def possible(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             swap = n[a] > n[b]
@@ -428,9 +429,17 @@ def _tile(rule: Rule, limit: int | None):
             for i in range(0, len(a), PIECE_PAIRS):
                 at, place = np.unique(np.concatenate([a[i : i + PIECE_PAIRS], b[i : i + PIECE_PAIRS]]), return_inverse=True)
                 name = int(mix(mix(family[s : s + 1].astype(U64)) + mix(np.array([(int(ti[s]) << 32) + int(tj[s])], U64)) + U64(i))[0] >> U64(1))
-                yield name, uid[at], place.astype(np.int32).tobytes(), partial
-
-        for s, e in zip(head, np.append(head[1:], len(family)), strict=True):
+                yield name, int(family[s]), uid[at], place.astype(np.int32).tobytes(), partial
+
+        ends = np.append(head[1:], len(family))
+        within = ti[head] == tj[head]
+        kept = np.ones(len(head), dtype=bool)
+        for size in range(1, SMALL_GROUP + 1):  # all small tiles of one size at a time: most have no pair
+            at = np.flatnonzero(within & (ends - head == size))
+            kept[at] = False
+            for i, j in combinations(range(size if len(at) else 0), 2):
+                kept[at[np.isin(head[at] + i, np.concatenate(possible(head[at] + i, head[at] + j)[:2]))]] = True
+        for s, e in zip(head[kept], ends[kept], strict=True):
             left, right = np.arange(s, e)[t[s:e] == ti[s]], np.arange(s, e)[t[s:e] == tj[s]]
             found = []
             step = max(1, (1 << 18) // max(1, len(right)))
@@ -442,7 +451,7 @@ def _tile(rule: Rule, limit: int | None):
             if found:
                 a, b, close = (np.concatenate(x) for x in zip(*found, strict=True))
                 small += pieces(s, a, b, close, e - s)
-            if sum(len(x[2]) for x in small) > 4 << 20:
+            if sum(len(x[3]) for x in small) > 4 << 20:
                 yield rows(small)
                 small = []
         if small:
@@ -450,8 +459,8 @@ def _tile(rule: Rule, limit: int | None):
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.bool_())],
-            names=["tile", "uids", "pairs", "partial"],
+            [pa.array([x[j] for x in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_()))],
+            names=["tile", "family", "uids", "pairs", "partial"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,8 +487,9 @@ def _tile(rule: Rule, limit: int | None):
     return run
 
 
-def _families(labelled: DataFrame) -> DataFrame:
-    """Rows (family, uid, n, early, upper, comp, label, labels) of groups with several components.
+def _families(labelled: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Rows (family, uid, n, early, upper, comp, label, labels) of groups with several components, of families in ``only`` if given.
+    A family's name follows from the rows of its groups, so it is the same in each round.
 
     ``upper``: of the second of the family's two bands. Rows meet in tiles by their labels; those of
     the largest component have the highest and don't meet each other.
@@ -492,6 +502,8 @@ def _families(labelled: DataFrame) -> DataFrame:
     mixed = F.least("a", "x.a") < F.greatest("z", "x.z")
     name = F.xxhash64("band", F.least("h1", "x.h1"), F.least("h2", "x.h2")).alias("family")
     keys = stats.where(mixed).select("token", "band", name, F.col("x").isNotNull().alias("two"))
+    if only is not None:
+        keys = keys.join(only, "family", "left_semi")
     sides = F.array(F.struct("band", F.lit(False).alias("upper")), F.when(F.col("two"), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("upper"))))
     keys = keys.select("token", "family", F.explode(F.array_compact(sides)).alias("y")).select("token", "family", "y.*")
     rows = labelled.join(keys, ["token", "band"]).groupBy("family", "uid").agg(F.min("n").alias("n"), F.max("early").alias("early"), F.min("upper").alias("upper"), F.min("comp").alias("comp"))
@@ -596,13 +608,14 @@ def first_links(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
 
 
 def further_links(links: DataFrame, groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
-    """``links`` and those between rows of different components, in rounds until all pairs of one group are decided."""
-    spark = sig.sparkSession
+    """``links`` and those between rows of different components, in rounds until all pairs of one group are decided. A
+    round looks at those families only that the round before it left open."""
+    spark, open_families = sig.sparkSession, None
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
         with _scratch.passing(spark, "components"):
             comps = _scratch.stored(components(links), "components")
         labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "band", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
-        placed = _families(labelled).join(sig.drop("size"), "uid")
+        placed = _families(labelled, open_families).join(sig.drop("size"), "uid")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("labels") - 1)).alias("o")
         placed = placed.select("*", other).select("family", F.least("label", "o").alias("ti"), F.greatest("label", "o").alias("tj"), F.col("label").alias("t"), "uid", "n", "early", "upper", "comp", "sig")
         placed = placed.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj")
@@ -610,7 +623,8 @@ def further_links(links: DataFrame, groups: DataFrame, sig: DataFrame, rule: Rul
         if pieces.isEmpty():
             break
         links = links.union(_verified(pieces, rule, members, parts))
-        if pieces.where("partial").isEmpty():
+        open_families = pieces.where("partial").select("family").distinct()  # all pairs of others are decided
+        if open_families.isEmpty():
             break
     return links
 

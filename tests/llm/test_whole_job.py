@@ -277,3 +277,31 @@ def test_salted_line_keys_come_back():
     salt = np.arange(199, dtype=np.uint64) % np.uint64(7)
     got, found = line_dedup._plain(line_dedup._turned(key, salt) | salt)
     assert (got == key).all() and (found == (salt > 0)).all()
+
+
+def test_second_pass_of_line_keys_drops_lines_of_one_component():
+    """Rows of one component don't meet again under a shared pair; rows whose pair stands too far apart can't link."""
+    rule = line_dedup.edit_rule(80, 100, None)
+    group, n, bits = np.zeros(3, np.int64), np.array([10, 10, 10]), np.zeros(3, np.uint64)
+    partnered = lambda place, comp: jaccard._partnered(group, n, bits, rule, np.array(place), np.array(comp)).tolist()
+    assert partnered([4, 4, 4], [1, 1, 1]) == [False] * 3
+    assert partnered([4, 5, 4], [1, 1, 2]) == [True] * 3
+    assert partnered([4, 8, 4], [1, 1, 2]) == [True, False, True]
+    assert partnered([4, jaccard.NO_PLACE, 4], [1, 1, 2]) == [True] * 3
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_lines_that_the_first_keys_miss_are_found(spark, folder, monkeypatch, most):
+    """Pairs whose rarest word pairs are spoiled link by the other keys, whatever the number of first keys."""
+    monkeypatch.setattr(line_dedup, "FIRST_KEYS", most)
+    rng = random.Random(31)
+    common = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        a = [rng.choice(common) for _ in range(40)]
+        b = list(a)
+        for at in range(2, 40, 5):  # the rarest pairs of either line are those of its own words
+            a[at], b[at] = f"left{i}x{at}", f"right{i}x{at}"
+        rows += [(2 * i, " ".join(a), "s"), (2 * i + 1, " ".join(b), "s")]
+    got = {r.doc_id: r.text for r in queries.op6_line_dedup(spark, folder(rows)).collect()}
+    assert all(got[2 * i] and not got[2 * i + 1] for i in range(60))
