@@ -46,6 +46,8 @@ TILE_WINDOWS = 4 << 20
 PIECE_PAIRS = 1 << 17
 #: Rows of a window's group beyond which it is dealt out to several tasks.
 HOT_ROWS = 1 << 16
+#: Pairs of a piece from which on they are screened together first.
+SCREENED_PAIRS = 32
 #: Pairs a row beyond which a tile is left to a later round.
 PAIRS_PER_ROW = 8
 HUB_ROWS = 512
@@ -63,13 +65,16 @@ PIECE_SCHEMA = "tile long, family long, uids array<long>, pairs binary, partial
 class Rule(NamedTuple):
     """When two rows of sizes n <= m link: ``num / den`` bounds n / m from below; ``possible(n, m, differ)`` tells for
     arrays or columns whether bitmaps that differ in so many bits allow a link; ``linked`` decides on the data of two rows.
-    Where rows are sequences, ``placed(m, apart)`` tells whether the parts before and behind their common token may differ by ``apart`` in length."""
+    Where rows are sequences, ``placed(m, apart)`` tells whether the parts before and behind their common token may differ by ``apart`` in length.
+    Rows larger than ``told`` come without their word of bitmap. ``screened(sets, u, v)`` tells which of many pairs may link at all."""
 
     num: int
     den: int
     possible: Callable
     linked: Callable[[np.ndarray, np.ndarray], bool]
     placed: Callable | None = None
+    told: int | None = None
+    screened: Callable | None = None
 
 
 def jaccard_rule(num: int, den: int) -> Rule:
@@ -198,7 +203,10 @@ def _partnered(group: np.ndarray, n: np.ndarray, bits: np.ndarray, rule: Rule, p
 
     def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        ok = (large * rule.num <= small * rule.den) & rule.possible(small, large, np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64))
+        differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+        if rule.told is not None:
+            differ[large > rule.told] = 0
+        ok = (large * rule.num <= small * rule.den) & rule.possible(small, large, differ)
         if place is not None:
             x, y = place[a], place[b]
             ok &= (x == NO_PLACE) | (y == NO_PLACE) | rule.placed(large, np.abs(x - y) + np.abs((n[a] - x) - (n[b] - y)))
@@ -248,7 +256,11 @@ def _groups(hot: np.ndarray, salts: np.ndarray, rule: Rule | None = None, plain:
             at = order[rows]
             place = np.concatenate(places)[at].astype(np.int64) if len(places) > 1 else None
             comp = uid[at] ^ np.concatenate(comps)[at] if len(comps) > 1 else None
-            kept[rows] = _partnered(key[rows], (size[at] >> 1).astype(np.int64), np.concatenate(words)[at], rule, place, comp)
+            n, word = (size >> 1).astype(np.int64), np.concatenate(words)
+            if rule.told is not None:
+                word, sent = np.zeros(len(n), U64), word
+                word[n <= rule.told] = sent
+            kept[rows] = _partnered(key[rows], n[at], word[at], rule, place, comp)
         if len(salted):
             at = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
             found = salted[at] == key
@@ -324,8 +336,11 @@ def _linked(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray, rule: Rule) ->
             x = root[x]
         return x
 
-    out = []
-    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+    out, at = [], range(len(u))
+    if rule.screened is not None and len(u) >= SCREENED_PAIRS:
+        at = np.flatnonzero(rule.screened(sets, u, v))
+        u, v, at = u[at], v[at], at.tolist()
+    for i, a, b in zip(at, u.tolist(), v.tolist(), strict=True):
         x, y = top(a), top(b)
         if x != y and rule.linked(sets[a], sets[b]):
             root[y] = x
@@ -487,8 +502,9 @@ def _tile(rule: Rule, limit: int | None):
     return run
 
 
-def _families(labelled: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Rows (family, uid, n, early, upper, comp, label, labels) of groups with several components, of families in ``only`` if given.
+def _families(labelled: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (family, uid, n, early, upper, comp, label, labels) of groups with several components, of families in ``only`` if given; and
+    the stored (token, band, family, two) of these groups.
     A family's name follows from the rows of its groups, so it is the same in each round.
 
     ``upper``: of the second of the family's two bands. Rows meet in tiles by their labels; those of
@@ -504,6 +520,7 @@ def _families(labelled: DataFrame, only: DataFrame | None = None) -> DataFrame:
     keys = stats.where(mixed).select("token", "band", name, F.col("x").isNotNull().alias("two"))
     if only is not None:
         keys = keys.join(only, "family", "left_semi")
+    keys = named = _scratch.stored(keys, "keys")
     sides = F.array(F.struct("band", F.lit(False).alias("upper")), F.when(F.col("two"), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("upper"))))
     keys = keys.select("token", "family", F.explode(F.array_compact(sides)).alias("y")).select("token", "family", "y.*")
     rows = labelled.join(keys, ["token", "band"]).groupBy("family", "uid").agg(F.min("n").alias("n"), F.max("early").alias("early"), F.min("upper").alias("upper"), F.min("comp").alias("comp"))
@@ -517,7 +534,7 @@ def _families(labelled: DataFrame, only: DataFrame | None = None) -> DataFrame:
     first = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
     dealt = F.abs(F.xxhash64("uid") % F.when(first, F.col("mains")).otherwise(F.col("others"))) + F.when(first, F.col("others")).otherwise(F.lit(0))
     met = F.when(first, F.col("others")).otherwise(F.col("others") + F.col("mains"))
-    return rows.join(parts, "family").select("family", "uid", "n", "early", "upper", "comp", dealt.alias("label"), met.alias("labels"))
+    return rows.join(parts, "family").select("family", "uid", "n", "early", "upper", "comp", dealt.alias("label"), met.alias("labels")), named
 
 
 class Join(NamedTuple):
@@ -586,19 +603,23 @@ def _verified(pieces: DataFrame, rule: Rule, members: Callable[[DataFrame], Data
         return decided(pieces, members(pieces.select("tile", F.explode("uids").alias("uid"))), rule, parts)
 
 
-def first_links(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
-    """Links of the smallest row of each band of a group with the others of it."""
-    heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("token", "band", F.col("first.uid").alias("hub"))
-    pairs = groups.join(heads, ["token", "band"]).where("hub <> uid").select("hub", "uid").distinct()
-    pairs = pairs.join(sig, "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig"), F.col("size").alias("hub_size")), "hub")
-    width = F.least(F.size("sig"), F.size("hub_sig"))
+def first_links(groups: DataFrame, sig: DataFrame | None, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Links of the smallest row of each band of a group with the others of it. Without ``sig`` all of these are held against each other: for
+    small rows of groups that went through a word of bitmap, fetching wider ones costs more than the data of those that they would spare."""
+    heads = groups.groupBy("token", "band").agg(F.min(F.struct("n", "uid")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    heads = heads.select("token", "band", F.col("first.uid").alias("hub"), F.col("first.n").alias("hub_size"))
+    pairs = groups.join(heads, ["token", "band"]).where("hub <> uid").select("hub", "uid", F.col("n").alias("size"), "hub_size").distinct()
+    n, m = F.least("size", "hub_size"), F.greatest("size", "hub_size")
+    differ = F.lit(0)
+    if sig is not None:
+        pairs = pairs.join(sig.select("uid", "sig"), "uid").join(sig.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        width = F.least(F.size("sig"), F.size("hub_sig"))
 
-    def folded(sig):
-        halves = F.zip_with(F.slice(sig, 1, width), F.slice(sig, width + 1, width), lambda a, b: a.bitwiseXOR(b))
-        return F.when(F.size(sig) > width, halves).otherwise(F.col(sig))
+        def folded(sig):
+            halves = F.zip_with(F.slice(sig, 1, width), F.slice(sig, width + 1, width), lambda a, b: a.bitwiseXOR(b))
+            return F.when(F.size(sig) > width, halves).otherwise(F.col(sig))
 
-    differ = F.aggregate(F.zip_with(folded("sig"), folded("hub_sig"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    n, m = F.least("size", "hub_size"), F.greatest("size", "hub_size")
+        differ = F.aggregate(F.zip_with(folded("sig"), folded("hub_sig"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     pairs = _scratch.stored(pairs.where((m * rule.num <= n * rule.den) & rule.possible(n, m, differ)).select("hub", "uid", "size"), "pairs")
     hubs = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / HUB_ROWS, F.sum("size") / TILE_WINDOWS)).alias("tiles"))
     salt = F.abs(F.xxhash64("uid") % F.col("tiles"))
@@ -609,13 +630,14 @@ def first_links(groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable
 
 def further_links(links: DataFrame, groups: DataFrame, sig: DataFrame, rule: Rule, members: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
     """``links`` and those between rows of different components, in rounds until all pairs of one group are decided. A
-    round looks at those families only that the round before it left open."""
+    round looks at those families only that the round before it left open, and reads the groups of their tokens only."""
     spark, open_families = sig.sparkSession, None
     for limit in (PAIRS_PER_ROW, PAIRS_PER_ROW, None):
         with _scratch.passing(spark, "components"):
             comps = _scratch.stored(components(links), "components")
         labelled = groups.join(comps, groups["uid"] == comps["node"], "left").select("token", "band", "uid", "n", "early", F.coalesce("component", "uid").alias("comp"))
-        placed = _families(labelled, open_families).join(sig.drop("size"), "uid")
+        placed, named = _families(labelled, open_families)
+        placed = placed.join(sig.drop("size"), "uid")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("labels") - 1)).alias("o")
         placed = placed.select("*", other).select("family", F.least("label", "o").alias("ti"), F.greatest("label", "o").alias("tj"), F.col("label").alias("t"), "uid", "n", "early", "upper", "comp", "sig")
         placed = placed.repartition(parts, "family", "ti", "tj").sortWithinPartitions("family", "ti", "tj")
@@ -623,9 +645,11 @@ def further_links(links: DataFrame, groups: DataFrame, sig: DataFrame, rule: Rul
         if pieces.isEmpty():
             break
         links = links.union(_verified(pieces, rule, members, parts))
-        open_families = pieces.where("partial").select("family").distinct()  # all pairs of others are decided
+        open_families = _scratch.stored(pieces.where("partial").select("family").distinct(), "open")  # all pairs of others are decided
         if open_families.isEmpty():
             break
+        tokens = _scratch.stored(named.join(open_families, "family", "left_semi").select("token").distinct(), "open")
+        groups = _scratch.stored(groups.join(tokens, "token", "left_semi"), "groups")
     return links
 
 

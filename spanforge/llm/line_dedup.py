@@ -7,8 +7,8 @@ Two kinds of keys:
 
 * SimHash (``most_bits``): each distinct line gets a 64-bit SimHash of its distinct words. Two SimHashes that differ in at
   most three bits agree in three of six blocks, so lines are keyed by every three blocks.
-* Word pairs (``most_bits=None``): an edit spoils at most two of a line's pairs of neighbouring words, so lines that are similar enough
-  share one among the first few of each, in any common order. A parity bitmap of the words takes the SimHash's place as filter; it
+* Word pairs, in long lines three words (``most_bits=None``): an edit spoils at most two of a line's pairs of neighbouring words, so lines that are similar enough
+  share one among the first few of each, in any common order. A parity bitmap of the words takes the SimHash's place as filter of short lines; it
   differs in at most two bits an edit. A line is sent under as many pairs as edits can spoil and one more, rare ones first, so no pair of lines is lost
   at any length. How rare they are is counted in cells of hashes, on a sample of blocks; counts order only.
 
@@ -56,7 +56,10 @@ CLASSES_A_DOUBLING = 1.5
 #: Bits of a pair's hash that tell it from others, next to 5 of its class and 20 of a line. Pairs of equal bits count as one, which loses no pair of lines.
 KEY_BITS = 39
 SLICES = 16
-#: Keys of a line in the first pass. They join most copies early; the second pass takes all keys.
+#: Lines of more words are keyed by three neighbouring words, as the pairs and words of unrelated ones agree too often. Those that may be similar
+#: to shorter ones are keyed by pairs, too.
+PAIR_WORDS = 40
+#: Keys of a line of each kind in the first pass. They join most copies early; the second pass takes all keys.
 FIRST_KEYS = 4
 
 LINE_SCHEMA = "node long, uid long, doc_id long, line long, n long, h1 long, h2 long, sig array<long>"
@@ -147,7 +150,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _describe(min_words: int, most_bits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        for block in B.each_block(batches):
+        for block in B.each_block(batches, B.KEPT_BYTES):
             lines = _Lines(block)
             rows = np.flatnonzero(lines.n >= min_words)
             ids = block.doc_id.take(pa.array(lines.doc[rows]))
@@ -177,9 +180,22 @@ def _keys(n_buckets: int):
     return run
 
 
+def _told(num: int, den: int) -> int:
+    """The length of the longest line that may be similar to one of PAIR_WORDS words. Lines up to it have a word of bitmap beside their keys."""
+    return PAIR_WORDS * den // num
+
+
 def _kinds(n: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
-    """Lengths of grams, and which lines of ``n`` words are keyed by them."""
-    return [(2, n >= 2)]
+    """Lengths of grams, and which lines of ``n`` words are keyed by them. Any two that can be similar have a length in common."""
+    return [(2, n <= _told(num, den)), (3, n > PAIR_WORDS)]
+
+
+def _places(number: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the grams of ``q`` words of lines with a number (others: -1) start, and these numbers."""
+    words = np.repeat(number, n)
+    last = words[q - 1 :]
+    at = np.flatnonzero((last == words[: len(last)]) & (last >= 0))
+    return at, last[at]
 
 
 def _counted(num: int, den: int):
@@ -187,12 +203,15 @@ def _counted(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
-        for block in B.each_block(batches):
+        for block in B.each_block(batches, B.KEPT_BYTES):
             lines = _Lines(block)
-            words = np.repeat(np.arange(len(lines.n)), lines.n)
-            at = np.flatnonzero((words[1:] == words[:-1]) & (_prefix(lines.n, num, den) > 0)[words[1:]])
             count = np.zeros(1 << CELL_BITS, np.uint32) if count is None else count
-            count += np.bincount((lines.grams(2, at) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
+            for q, of in _kinds(lines.n, num, den):
+                at = _places(np.where(of & (_prefix(lines.n, num, den, q) > 0), np.arange(len(lines.n)), -1), lines.n, q)[0]
+                cells = np.sort((lines.grams(q, at) >> U64(64 - CELL_BITS)).astype(np.uint32))
+                if len(cells):
+                    head = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+                    count[cells[head]] += np.diff(np.append(head, len(cells))).astype(np.uint32)
         if count is not None:
             parts = np.split(count, SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([B.planes(x) for x in parts], pa.binary())], names=["slice", "counts"])
@@ -223,45 +242,45 @@ def _prefix(n: np.ndarray, num: int, den: int, q: int = 2) -> np.ndarray:
 
 
 def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den: int, n_buckets: int, first_pass: bool):
-    """Send each distinct line under the first of its word pairs, in the first pass under a few of these. ``classes`` has the class of each cell
+    """Send each distinct line under the first of its grams, in the first pass under a few of these. ``classes`` has the class of each cell
     of hashes, ``salts`` over how many keys the lines of a pair of each class are dealt."""
     low = U64(64 - KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(path, ["slot", "line", "node", "comp"])
-        for block in B.each_block(batches):
+        for block in B.each_block(batches, B.KEPT_BYTES):
             slot, line, node, comp = wanted.of(block.bid)
             if not len(slot):
                 continue
             lines = _Lines(block)
-            bound = _prefix(lines.n, num, den)
-            bound = np.minimum(bound, FIRST_KEYS) if first_pass else bound
             nodes, comps = np.full(len(lines.n), -1, np.int64), np.full(len(lines.n), -1, np.int64)
             at = np.searchsorted(lines.doc, slot, "left") + line
             nodes[at], comps[at] = node, comp
-            asked = np.flatnonzero((nodes >= 0) & (bound > 0))
-            number = np.full(len(lines.n), -1, np.int64)
-            number[asked] = np.arange(len(asked))
-            words = np.repeat(number, lines.n)
-            at = np.flatnonzero((words[1:] == words[:-1]) & (words[1:] >= 0))
-            row, hashed = words[1:][at], lines.grams(2, at)
-            order = classes[(hashed >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(KEY_BITS) | hashed >> low
             keys, rows, places = [], [], []
-            for i in range(0, max(1, len(asked)), 1 << 20):
-                a, b = np.searchsorted(row, (i, i + (1 << 20)))
-                both = (row[a:b] - i).astype(U64) << U64(KEY_BITS + 5) | order[a:b]
-                by = np.argsort(both)
-                both = both[by]
-                head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else by
-                times = np.diff(np.append(head, len(both)))
-                both, by = both[head], by[head]
-                of = (both >> U64(KEY_BITS + 5)).astype(np.int64)
-                first = np.flatnonzero(np.arange(len(of)) - np.searchsorted(of, of) < bound[asked[of + i]])
-                keys.append(both[first])
-                rows.append(of[first] + i)
-                place = at[a:b][by[first]] - lines.bounds[asked[rows[-1]]]
-                places.append(np.where(times[first] > 1, NO_PLACE, np.minimum(place, NO_PLACE)).astype(np.uint16))
-            key, row, place = np.concatenate(keys), asked[np.concatenate(rows)], np.concatenate(places)
+            for q, of in _kinds(lines.n, num, den):
+                bound = _prefix(lines.n, num, den, q)
+                bound = np.minimum(bound, FIRST_KEYS) if first_pass else bound
+                asked = np.flatnonzero((nodes >= 0) & (bound > 0) & of)
+                number = np.full(len(lines.n), -1, np.int64)
+                number[asked] = np.arange(len(asked))
+                at, row = _places(number, lines.n, q)
+                hashed = lines.grams(q, at)
+                order = classes[(hashed >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(KEY_BITS) | hashed >> low
+                for i in range(0, max(1, len(asked)), 1 << 20):
+                    a, b = np.searchsorted(row, (i, i + (1 << 20)))
+                    both = (row[a:b] - i).astype(U64) << U64(KEY_BITS + 5) | order[a:b]
+                    by = np.argsort(both)
+                    both = both[by]
+                    head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else by
+                    times = np.diff(np.append(head, len(both)))
+                    both, by = both[head], by[head]
+                    number = (both >> U64(KEY_BITS + 5)).astype(np.int64)
+                    first = np.flatnonzero(np.arange(len(number)) - np.searchsorted(number, number) < bound[asked[number + i]])
+                    keys.append(both[first])
+                    rows.append(asked[number[first] + i])
+                    place = at[a:b][by[first]] - lines.bounds[rows[-1]]
+                    places.append(np.where(times[first] > 1, NO_PLACE, np.minimum(place, NO_PLACE)).astype(np.uint16))
+            key, row, place = np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
             rank = (key >> U64(KEY_BITS) & U64(31)).astype(np.int64)
             key = key << low
             hot = np.flatnonzero(salts[rank] > 1)
@@ -272,7 +291,7 @@ def _gram_keys(path: str, classes: np.ndarray, salts: np.ndarray, num: int, den:
             extra = [nodes[row], (2 * lines.n[row] + 1).astype(np.uint32), lines.parity_word()[row], place[order]]
             if not first_pass:
                 extra.append(nodes[row] ^ comps[row])
-            yield from B.sent_rows(block.bid, key[order], extra, n_buckets)
+            yield from B.sent_rows(block.bid, key[order], extra, n_buckets, {2: lines.n[row] <= _told(num, den)})
 
     return run
 
@@ -312,7 +331,7 @@ def _pair_links(blocks: DataFrame, places: DataFrame, sigs: DataFrame, rule: Rul
         return banded(sent.repartition(2 * parts, "bucket").mapInArrow(_groups(np.empty(0, U64), np.empty(0, np.int64), rule, _plain), GROUP_SCHEMA), rule)
 
     with _scratch.passing(spark, "links"):
-        links = first_links(groups(places.withColumn("comp", F.col("node")), True), sigs, rule, members, parts)
+        links = first_links(groups(places.withColumn("comp", F.col("node")), True), None, rule, members, parts)
     with _scratch.passing(spark, "groups"):
         comps = components(links).withColumnRenamed("node", "of")
         named = places.join(comps, places["node"] == comps["of"], "left").withColumn("comp", F.coalesce("component", "node"))
@@ -366,6 +385,34 @@ def _surplus(a: np.ndarray, b: np.ndarray) -> int:
     return int(more[more > 0].sum())
 
 
+#: Bytes of the table of common words by which a piece's pairs are screened; beyond, each pair is looked at by itself.
+SCREEN_BYTES = 64 << 20
+
+
+def _common(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+    """How many words the sequences of each pair have in common, each used once; None where the table for it would be too large."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    words, word = np.unique(np.concatenate([np.empty(0, U64), *sets]), return_inverse=True)
+    order = np.lexsort((row, word))
+    row, word = row[order], word[order]
+    head = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])))[: len(word)]
+    nth = np.arange(len(word)) - np.repeat(head, np.diff(np.append(head, len(word))))
+    _, token, times = np.unique(nth * len(words) + word, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    width = 8 * (int(np.count_nonzero(times > 1)) // 64 + 1)
+    if len(sets) * width > SCREEN_BYTES:
+        return None
+    shared = times[token] > 1
+    row, column = row[shared], column[token[shared]]
+    bits = np.zeros(len(sets) * width, np.uint8)
+    np.add.at(bits, row * width + (column >> 3), (1 << (column & 7)).astype(np.uint8))
+    bits = bits.view(U64).reshape(len(sets), -1)
+    out = np.empty(len(u), np.int64)
+    for i in np.array_split(np.arange(len(u)), len(u) * bits.shape[1] // (1 << 19) + 1):
+        out[i] = np.bitwise_count(bits[u[i]] & bits[v[i]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def edit_rule(num: int, den: int, most_bits: int | None) -> Rule:
     """Lines whose edit similarity over words, 1 - distance / words of the longer, is at least ``num / den``."""
 
@@ -384,7 +431,15 @@ def edit_rule(num: int, den: int, most_bits: int | None) -> Rule:
     def placed(m, apart):
         return apart <= (den - num) * m // den
 
-    return Rule(num, den, possible, linked, placed)
+    def screened(sets: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        common = _common(sets, u, v)
+        if common is None:
+            return np.ones(len(u), dtype=bool)
+        n = np.array([len(x) for x in sets])
+        longest = np.maximum(n[u], n[v])
+        return longest - common <= (den - num) * longest // den
+
+    return Rule(num, den, possible, linked, placed, _told(num, den) if most_bits is None else None, screened)
 
 
 def _members(path: str):
@@ -392,7 +447,7 @@ def _members(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Wanted(path, ["slot", "line", "node", "tile"])
-        for block in B.each_block(batches):
+        for block in B.each_block(batches, B.KEPT_BYTES):
             slot, line, node, tile = wanted.of(block.bid)
             if not len(slot):
                 continue
@@ -413,7 +468,7 @@ def _removed(path: str, spread: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = Wanted(path, ["slot", "line"])
-        for block in B.each_block(batches):
+        for block in B.each_block(batches, B.KEPT_BYTES):
             slot, line = gone.of(block.bid)
             offsets = np.concatenate([[0], np.cumsum(block.lens + 1)])
             cut = np.searchsorted(slot, np.arange(len(block.lens) + 1))
